@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,8 @@ def sha_key(*parts: Column) -> Column:
 def merged_set(arrays: Column) -> Column:
     """Aggregate: sorted union of arrays that each hold a bounded set of labels."""
     return F.sort_array(F.array_distinct(F.flatten(F.collect_set(arrays))))
+
+
+def literal_rows(spark: SparkSession, name: str, values: list[str]) -> DataFrame:
+    """A few literal values as rows, without starting a Python worker."""
+    return spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(name))

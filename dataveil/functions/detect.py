@@ -130,18 +130,21 @@ def is_flagged(category: Column, confidence: Column, threshold: float = FLAG_THR
     return (category != "NONE") & (confidence >= F.lit(threshold))
 
 
-def text_spans(df: DataFrame, key: list[str], text: str) -> DataFrame:
+def text_spans(
+    df: DataFrame, key: list[str], text: str, categories: list[str] | None = None
+) -> DataFrame:
     """Sensitive spans in whole texts: (key..., category, position, span).
 
     Holds raw values; mask or hash ``span`` before anything leaves the job.
     """
-    found = [
-        F.transform(
-            F.regexp_extract_all(F.col(text), F.lit(shape), F.lit(0)),
-            lambda s, i, c=category: F.struct(
-                F.lit(c).alias("category"), i.cast("int").alias("position"), s.alias("span")
+    def found(category: str) -> Column:
+        return F.transform(
+            F.regexp_extract_all(F.col(text), F.lit(SPAN_SHAPES[category]), F.lit(0)),
+            lambda span, i: F.struct(
+                F.lit(category).alias("category"), i.cast("int").alias("position"),
+                span.alias("span"),
             ),
         )
-        for category, shape in SPAN_SHAPES.items()
-    ]
-    return df.select(*key, F.explode(F.concat(*found)).alias("s")).select(*key, "s.*")
+
+    spans = F.concat(*[found(category) for category in categories or SPAN_SHAPES])
+    return df.select(*key, F.explode(spans).alias("s")).select(*key, "s.*")

@@ -12,6 +12,7 @@ from dataveil.functions.vocab import COMPLETION_EVENTS, DONE_STATUSES
 from dataveil.operators.inventory import _per_table
 from dataveil.operators.order_stats import exact_quantiles
 from dataveil.operators.timeline import next_at_or_after
+from dataveil.session import cut_lineage
 
 _DAY_MICROS = 86_400_000_000
 _BIG = "decimal(38,0)"
@@ -116,8 +117,11 @@ def remediation_delays(audit: DataFrame, as_of: str | datetime, days: int = 84)
 
 
 def paired_time_to_remediate(audit: DataFrame, as_of: str | datetime) -> DataFrame:
-    """Detections, completed ones, and the mean and median days of the completed ones."""
-    delays = remediation_delays(audit, as_of)
+    """Detections, completed ones, and the mean and median days of the completed ones.
+
+    The delays are stored once, as each pass of the median reads them again.
+    """
+    delays = cut_lineage(remediation_delays(audit, as_of))
     done = delays.where(F.col("delay_micros").isNotNull()).withColumn("all", F.lit(1))
     median = exact_quantiles(done, "all", "delay_micros", [0.5], bits=48, weight="n")
     counts = delays.agg(

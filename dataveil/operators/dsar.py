@@ -88,7 +88,7 @@ def probe_text(
     *identifiers* has ``identifier_hash`` (normalised). Raw spans are hashed before the join, so
     a masked copy of the same value is found by the same hash.
     """
-    spans = text_spans(df, key, text).where(F.col("category") == category).select(
+    spans = text_spans(df, key, text, [category]).select(
         *key, normalized_hash(F.col("span")).alias("identifier_hash")
     )
     return _hits(identifiers, spans, key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dataveil.functions.columns import literal_rows
 from dataveil.functions.vocab import F1_GATE, FIXTURE_GATE, FLAG_THRESHOLD, LABELS
 
 
@@ -41,7 +42,7 @@ def class_report(
         F.coalesce(F.sum(hits), F.lit(0)).alias("hits"),
         F.sum("s.support").alias("support"), F.sum("s.predicted").alias("predicted"),
     )
-    spine = pred.sparkSession.createDataFrame([(label,) for label in labels], "label string")
+    spine = literal_rows(pred.sparkSession, "label", labels)
     zero = F.lit(0).cast("long")
     filled = spine.join(per_label, "label", "left").select(
         "label", *[F.coalesce(c, zero).alias(c) for c in ("hits", "support", "predicted")]

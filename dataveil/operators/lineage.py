@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataveil.functions.columns import contains_any
+from dataveil.functions.columns import contains_any, literal_rows
 from dataveil.functions.vocab import CASCADE_CONFIDENCE, CHILD_KEYWORDS
 from dataveil.operators.audit import audit_rows
 from dataveil.operators.governance import table_sources
@@ -207,8 +207,7 @@ def reachable(
     if upstream:
         start, end = end, start
     steps = edges.select(F.col(start).alias("table_id"), F.col(end).alias("next_id"))
-    spark = edges.sparkSession
-    found = spark.createDataFrame([(o, 0) for o in origins], "table_id string, hops int")
+    found = literal_rows(edges.sparkSession, "table_id", origins).withColumn("hops", F.lit(0))
     for hop in range(1, max_hops + 1):
         joined = found.withColumn(
             "_key", F.when(F.col("hops") == hop - 1, F.col("table_id"))

@@ -22,34 +22,40 @@ def order_statistics(
     """
     weighed = F.col(weight) if weight else F.lit(1)
     folded = df.groupBy(group, value).agg(F.sum(weighed).alias("_w"))
-    state = ranks.select(
-        group, "target", F.lit(0).cast("long").alias("_prefix"), F.col("rank").alias("_left")
+    shift = -(-bits // DIGIT_BITS) * DIGIT_BITS - DIGIT_BITS
+    top = folded.groupBy(group, F.shiftright(value, shift).alias("_next")).agg(
+        F.sum("_w").alias("_w")
     )
-    shift = -(-bits // DIGIT_BITS) * DIGIT_BITS
+    spans = _spans(top, [group])
+    state = _narrow(ranks.select(group, "target", F.col("rank").alias("_left")).join(spans, group))
     while shift > 0:
         shift -= DIGIT_BITS
         digits = folded.select(
-            group,
-            F.shiftright(F.col(value), shift).alias("_next"),
-            F.shiftright(F.col(value), shift + DIGIT_BITS).alias("_prefix"), "_w",
+            group, F.shiftright(value, shift + DIGIT_BITS).alias("_prefix"),
+            F.shiftright(value, shift).alias("_next"), "_w",
         )
-        wanted = state.select(group, "_prefix").distinct()
-        counts = digits.join(wanted, [group, "_prefix"], "left_semi").groupBy(
-            group, "_prefix", "_next"
+        counts = digits.join(state, [group, "_prefix"]).groupBy(
+            group, "target", "_left", "_next"
         ).agg(F.sum("_w").alias("_w"))
-        running = Window.partitionBy(group, "_prefix").orderBy("_next")
-        spans = counts.withColumn("_end", F.sum("_w").over(running)).withColumn(
-            "_start", F.col("_end") - F.col("_w")
-        )
-        state = state.join(spans, [group, "_prefix"]).where(
-            (F.col("_left") >= F.col("_start")) & (F.col("_left") < F.col("_end"))
-        ).select(
-            group, "target", F.col("_next").alias("_prefix"),
-            (F.col("_left") - F.col("_start")).alias("_left"),
-        )
+        state = _narrow(_spans(counts, [group, "target"]))
     return state.select(group, "target", F.col("_prefix").alias(value))
 
 
+def _spans(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """First and last rank of each digit; at most ``2 ** DIGIT_BITS`` rows per key."""
+    running = Window.partitionBy(*keys).orderBy("_next")
+    return counts.withColumn("_end", F.sum("_w").over(running))
+
+
+def _narrow(spans: DataFrame) -> DataFrame:
+    """Keep the digit that holds the wanted rank and the rank within it."""
+    start = F.col("_end") - F.col("_w")
+    kept = spans.where((F.col("_left") >= start) & (F.col("_left") < F.col("_end")))
+    group = spans.columns[0]
+    return kept.select(group, "target", F.col("_next").alias("_prefix"),
+                       (F.col("_left") - start).alias("_left"))
+
+
 def exact_quantiles(
     df: DataFrame, group: str, value: str, probabilities: list[float], bits: int = 32,
     weight: str | None = None,

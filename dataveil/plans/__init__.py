@@ -1,6 +1,8 @@
 """The registered queries; importing this package fills the registry."""
 
-from dataveil.plans import compliance, inventory  # noqa: F401
+from dataveil.plans import (  # noqa: F401
+    classification, compliance, events, inventory, masking,
+)
 from dataveil.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
