@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dataveil.functions.columns import sha_key
 from dataveil.functions.detect import is_flagged, with_scores, with_top_label
@@ -26,7 +27,10 @@ def score_with_model(
     *load_model* runs once per Python worker and returns a function from texts to one
     ``{label: score}`` per text; it is fed Arrow batches.
     """
-    schema = df.schema.add("scores", "array<struct<label:string,score:double>>")
+    scores = T.ArrayType(T.StructType([
+        T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType()),
+    ]))
+    schema = T.StructType([*df.schema.fields, T.StructField("scores", scores)])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model()

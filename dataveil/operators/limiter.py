@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dataveil.functions.columns import seconds
 from dataveil.functions.vocab import RATE_WINDOW_SECONDS
@@ -45,7 +46,7 @@ def limited_calls(
         F.count(F.lit(1)).alias("n")
     )
     ordered = folded.repartition(key).sortWithinPartitions(key, "sec")
-    schema = ordered.schema.add("accepted", "long")
+    schema = T.StructType([*ordered.schema.fields, T.StructField("accepted", T.LongType())])
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, window = None, deque()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from dataveil.functions.vocab import F1_GATE, LABELS
 from dataveil.operators.classify import model_text
 from dataveil.operators.evaluate import class_report, overall_scores
+from dataveil.session import cut_lineage
 
 
 @dataclass
@@ -79,8 +80,12 @@ def train(
     train_rows: DataFrame, val_rows: DataFrame, *, features: int = 1024, iterations: int = 20,
     reg_params: tuple[float, ...] = (1e-4, 1e-2),
 ) -> TrainedModel:
-    """Fit one model per regularisation and keep the best on the validation rows."""
-    fit_rows, check_rows = label_ids(featurize(train_rows)), label_ids(featurize(val_rows))
+    """Fit one model per regularisation and keep the best on the validation rows.
+
+    Both sets are stored once, since every fit and every check reads them again.
+    """
+    fit_rows = cut_lineage(label_ids(featurize(train_rows)))
+    check_rows = cut_lineage(label_ids(featurize(val_rows)))
     best: TrainedModel | None = None
     for reg_param in reg_params:
         model = Pipeline(stages=_stages(features, reg_param, iterations)).fit(fit_rows)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def list_files(spark: SparkSession, prefix: str) -> DataFrame:
@@ -72,7 +73,7 @@ def copy_files(moves: DataFrame) -> DataFrame:
     A repeated or speculative task finds finished targets and skips them, so losing an executor
     costs only the files it was copying. Nothing is deleted here.
     """
-    schema = moves.schema.add("copied_bytes", "long")
+    schema = T.StructType([*moves.schema.fields, T.StructField("copied_bytes", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
