@@ -62,13 +62,13 @@ def trailing_weeks(trend: DataFrame, weeks: int = 8) -> DataFrame:
     return trend.orderBy(F.desc("week_start")).limit(weeks)
 
 
-def _detections(audit: DataFrame, as_of: str | datetime, days: int) -> DataFrame:
+def _detected(audit: DataFrame, as_of: str | datetime, days: int) -> Column:
     first = clock(as_of, audit, "timestamp") - F.make_dt_interval(F.lit(days))
-    return audit.where((F.col("event_type") == "pii_detected") & (F.col("timestamp") >= first))
+    return (F.col("event_type") == "pii_detected") & (F.col("timestamp") >= first)
 
 
-def _completions(audit: DataFrame) -> DataFrame:
-    return audit.where(F.col("event_type").isin(COMPLETION_EVENTS))
+def _completed() -> Column:
+    return F.col("event_type").isin(COMPLETION_EVENTS)
 
 
 def mean_time_to_remediate(
@@ -79,9 +79,7 @@ def mean_time_to_remediate(
     The pairs are never formed: a table with d detections and c completions adds
     d * sum(completion) - c * sum(detection) to the total and d * c to the count.
     """
-    first = clock(as_of, audit, "timestamp") - F.make_dt_interval(F.lit(days))
-    detected = (F.col("event_type") == "pii_detected") & (F.col("timestamp") >= first)
-    completed = F.col("event_type").isin(COMPLETION_EVENTS)
+    detected, completed = _detected(audit, as_of, days), _completed()
     at = micros(F.col("timestamp")).cast("decimal(20,0)")
     per_table = audit.groupBy("table_id").agg(
         F.count_if(detected).alias("d"), F.count_if(completed).alias("c"),
@@ -107,12 +105,11 @@ def remediation_delays(audit: DataFrame, as_of: str | datetime, days: int = 84)
     One row per (table, detection instant): n equal detections, delay in microseconds or null.
     """
     matched = next_at_or_after(
-        _detections(audit, as_of, days), _completions(audit), "table_id",
-        "timestamp", "timestamp", out="completed_at",
+        audit, "table_id", "timestamp", _detected(audit, as_of, days), _completed()
     )
     return matched.select(
-        "table_id", F.col("timestamp").alias("detected_at"), "n",
-        (F.col("completed_at") - F.col("timestamp")).alias("delay_micros"),
+        "table_id", F.col("at").alias("detected_at"), "n",
+        (F.col("next_at") - F.col("at")).alias("delay_micros"),
     )
 
 
@@ -121,11 +118,10 @@ def paired_time_to_remediate(audit: DataFrame, as_of: str | datetime) -> DataFra
 
     The delays are stored once, as each pass of the median reads them again.
     """
-    delays = cut_lineage(remediation_delays(audit, as_of))
-    done = delays.where(F.col("delay_micros").isNotNull()).withColumn("all", F.lit(1))
+    delays = cut_lineage(remediation_delays(audit, as_of).withColumn("all", F.lit(1)))
+    done = delays.where(F.col("delay_micros").isNotNull())
     median = exact_quantiles(done, "all", "delay_micros", [0.5], bits=48, weight="n")
-    counts = delays.agg(
-        F.lit(1).alias("all"),
+    counts = delays.groupBy("all").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("detections"),
         F.coalesce(F.sum(F.when(F.col("delay_micros").isNotNull(), F.col("n"))), F.lit(0))
         .alias("completed"),
@@ -143,7 +139,7 @@ def paired_time_to_remediate(audit: DataFrame, as_of: str | datetime) -> DataFra
 def forecast(findings: DataFrame, audit: DataFrame, as_of: str | datetime) -> DataFrame:
     """Current score, weekly velocity, score projected by 30 days, days to full compliance."""
     since = clock(as_of, audit, "timestamp") - F.make_dt_interval(F.lit(28))
-    recent = _completions(audit).where(F.col("timestamp") >= since)
+    recent = audit.where(_completed()).where(F.col("timestamp") >= since)
     totals = _per_table(findings).agg(
         F.count_if("flagged").alias("total"), F.count_if("done").alias("done")
     ).withColumn("recent", recent.select(F.count(F.lit(1))).scalar())
@@ -227,7 +223,7 @@ def audit_gaps(findings: DataFrame, audit: DataFrame) -> DataFrame:
     done = findings.where(F.col("status").isin(DONE_STATUSES)).groupBy(
         "table_id", needed.alias("event_type")
     ).agg(F.count(F.lit(1)).alias("findings"))
-    recorded = _completions(audit).groupBy("table_id", "event_type").agg(
+    recorded = audit.where(_completed()).groupBy("table_id", "event_type").agg(
         F.count(F.lit(1)).alias("n")
     )
     return done.join(recorded, ["table_id", "event_type"], "left_anti")

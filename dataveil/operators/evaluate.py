@@ -28,8 +28,10 @@ def class_report(
     Rows are folded to the confusion matrix first (at most labels squared); a label that never
     occurs keeps its row with zeros.
     """
-    labels = labels or LABELS
-    cells = confusion_matrix(pred, truth, predicted)
+    return _report(confusion_matrix(pred, truth, predicted), labels or LABELS)
+
+
+def _report(cells: DataFrame, labels: list[str]) -> DataFrame:
     sides = F.array(
         F.struct(F.col("truth").alias("label"), F.col("n").alias("support"),
                  F.lit(0).cast("long").alias("predicted")),
@@ -42,7 +44,7 @@ def class_report(
         F.coalesce(F.sum(hits), F.lit(0)).alias("hits"),
         F.sum("s.support").alias("support"), F.sum("s.predicted").alias("predicted"),
     )
-    spine = literal_rows(pred.sparkSession, "label", labels)
+    spine = literal_rows(cells.sparkSession, "label", labels)
     zero = F.lit(0).cast("long")
     filled = spine.join(per_label, "label", "left").select(
         "label", *[F.coalesce(c, zero).alias(c) for c in ("hits", "support", "predicted")]
@@ -77,14 +79,12 @@ def threshold_report(
 ) -> DataFrame:
     """The class report on the confident rows, with the share of rows they are."""
     sure = F.col(confidence) >= F.lit(threshold)
-    coverage = pred.agg(
-        F.count_if(sure).alias("confident_samples"),
-        F.round(_ratio(F.count_if(sure), F.count(F.lit(1))), 4).alias("coverage"),
-    )
-    report = class_report(pred.where(sure), labels)
+    cells = pred.groupBy("truth", "predicted", sure.alias("sure")).agg(F.count(F.lit(1)).alias("n"))
+    confident = F.coalesce(F.sum(F.when(F.col("sure"), F.col("n"))), F.lit(0))
+    report = _report(cells.where("sure"), labels or LABELS)
     return report.withColumns({
-        "confident_samples": coverage.select("confident_samples").scalar(),
-        "coverage": coverage.select("coverage").scalar(),
+        "confident_samples": cells.select(confident).scalar(),
+        "coverage": cells.select(F.round(_ratio(confident, F.sum("n")), 4)).scalar(),
     })
 
 

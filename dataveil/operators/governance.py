@@ -14,9 +14,15 @@ from dataveil.functions.vocab import NOTICE_FINDINGS, QUARANTINE_DAYS, WARNING_D
 _DAY_MICROS = 86_400_000_000
 
 
+def table_events(findings: DataFrame) -> DataFrame:
+    """The first scan event of each table. Distinct pairs come first: they fold by hash."""
+    pairs = findings.select("table_id", "scanner_event_id").distinct()
+    return pairs.groupBy("table_id").agg(F.min("scanner_event_id").alias("scanner_event_id"))
+
+
 def table_sources(findings: DataFrame, events: DataFrame) -> DataFrame:
     """Source of each table through its findings: (table_id, source_name, type, owner)."""
-    link = findings.groupBy("table_id").agg(F.min("scanner_event_id").alias("scanner_event_id"))
+    link = table_events(findings)
     sources = events.select(F.col("id").alias("scanner_event_id"), "source_name",
                             "data_source_type", "owner_email")
     return link.join(sources, "scanner_event_id").drop("scanner_event_id")

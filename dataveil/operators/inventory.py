@@ -187,8 +187,10 @@ def table_report(
     """
     if table_id is not None:
         findings = findings.where(F.col("table_id") == table_id)
-    facts = findings.groupBy("table_id").agg(
-        F.max("created_at").alias("last_scanned"),
+    facts = findings.groupBy("table_id", "scanner_event_id").agg(
+        F.max("created_at").alias("last_scanned")
+    ).groupBy("table_id").agg(
+        F.max("last_scanned").alias("last_scanned"),
         F.min("scanner_event_id").alias("scanner_event_id"),
     )
     facts = facts.join(

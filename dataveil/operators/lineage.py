@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dataveil.functions.columns import contains_any, literal_rows
 from dataveil.functions.vocab import CASCADE_CONFIDENCE, CHILD_KEYWORDS
 from dataveil.operators.audit import audit_rows
-from dataveil.operators.governance import table_sources
+from dataveil.operators.governance import table_events, table_sources
 from dataveil.operators.inventory import rank_status, status_rank
 from dataveil.session import cut_lineage
 
@@ -54,19 +54,16 @@ def infer_path_edges(
     A name that looks like a copy makes a table a child. The selected table is one row; it meets
     the others on the kind it needs, so this is an equi-join whose result is linear in the tables.
     """
-    flagged = findings.where(F.col("flagged")).groupBy("table_id").agg(
-        F.min("scanner_event_id").alias("scanner_event_id")
-    )
+    flagged = table_events(findings.where(F.col("flagged")))
     sources = events.select(F.col("id").alias("scanner_event_id"), "source_name")
     others = flagged.where(F.col("table_id") != table_id).join(sources, "scanner_event_id").select(
         F.col("table_id").alias("other_id"), is_child_like(F.col("source_name")).alias("kind")
     )
-    selected = findings.where(F.col("table_id") == table_id).groupBy("table_id").agg(
-        F.min("scanner_event_id").alias("scanner_event_id")
-    ).join(sources, "scanner_event_id").select(
-        "table_id", (~is_child_like(F.col("source_name"))).alias("kind")
-    )
-    pairs = others.join(selected, "kind")
+    selected = table_events(findings.where(F.col("table_id") == table_id)).join(
+        sources, "scanner_event_id"
+    ).select("table_id", (~is_child_like(F.col("source_name"))).alias("kind"))
+    # One row, as it is grouped by the one table id: safe to send to every task.
+    pairs = others.join(F.broadcast(selected), "kind")
     parent = F.when(F.col("kind"), F.col("table_id")).otherwise(F.col("other_id"))
     child = F.when(F.col("kind"), F.col("other_id")).otherwise(F.col("table_id"))
     edges = pairs.select(
@@ -143,7 +140,10 @@ def similarity_edges(profiles: DataFrame, percent: int = 80) -> DataFrame:
       ``size - ceil(percent * size) + 1`` of each. Every such pair gives one edge between the
       groups' oldest tables (``similar_profile``), from the older to the younger.
     """
-    profiles = profiles.withColumn("profile", F.sha2(F.concat_ws("\n", "tokens"), 256))
+    # One row per table, far less than the findings it is folded from, and read several times.
+    profiles = cut_lineage(
+        profiles.withColumn("profile", F.sha2(F.concat_ws("\n", "tokens"), 256))
+    )
     groups = profiles.groupBy("profile").agg(
         F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("tables"),
         F.min(F.struct("first_seen", "table_id")).alias("oldest"),
@@ -196,29 +196,41 @@ def similarity_edges(profiles: DataFrame, percent: int = 80) -> DataFrame:
 # ---- impact -----------------------------------------------------------------------------------
 
 def reachable(
-    edges: DataFrame, origins: list[str], max_hops: int = 5, *, upstream: bool = False
+    edges: DataFrame, origins: list[str], max_hops: int = 5, *, upstream: bool = True,
+    downstream: bool = True,
 ) -> DataFrame:
-    """Tables within *max_hops* of the origins with their fewest hops.
+    """Tables within *max_hops* of the origins: (table_id, direction, hops), fewest hops first.
 
-    Each round extends the tables found last and folds to one row per table, so the state never
-    holds paths. Rounds refer to their predecessor once, and the plan is cut every few rounds.
+    Both directions are walked in the same rounds. Each round extends the tables found last and
+    folds to one row per table, so the state never holds paths. Rounds refer to their predecessor
+    once, and the plan is cut every few rounds.
     """
-    start, end = "parent_table_id", "child_table_id"
+    sides = []
+    if downstream:
+        sides.append(("descendant", "parent_table_id", "child_table_id"))
     if upstream:
-        start, end = end, start
-    steps = edges.select(F.col(start).alias("table_id"), F.col(end).alias("next_id"))
-    found = literal_rows(edges.sparkSession, "table_id", origins).withColumn("hops", F.lit(0))
+        sides.append(("ancestor", "child_table_id", "parent_table_id"))
+    steps = edges.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("direction"), F.col(start).alias("_from"),
+                 F.col(end).alias("next_id"))
+        for name, start, end in sides
+    ])).alias("s")).select("s.*")
+    found = literal_rows(edges.sparkSession, "table_id", origins).withColumns({
+        "direction": F.explode(F.array(*[F.lit(name) for name, _, _ in sides])),
+        "hops": F.lit(0),
+    })
     for hop in range(1, max_hops + 1):
-        joined = found.withColumn(
-            "_key", F.when(F.col("hops") == hop - 1, F.col("table_id"))
-        ).join(steps.withColumnRenamed("table_id", "_key"), "_key", "left")
+        last = F.when(F.col("hops") == hop - 1, F.col("table_id"))
+        joined = found.withColumn("_from", last).join(steps, ["direction", "_from"], "left")
         both = F.array(
             F.struct("table_id", "hops"),
             F.struct(F.col("next_id").alias("table_id"), F.lit(hop).alias("hops")),
         )
-        found = joined.select(F.explode(both).alias("x")).select("x.*").where(
-            F.col("table_id").isNotNull()
-        ).groupBy("table_id").agg(F.min("hops").alias("hops"))
+        found = joined.select("direction", F.explode(both).alias("x")).select(
+            "direction", "x.*"
+        ).where(F.col("table_id").isNotNull()).groupBy("table_id", "direction").agg(
+            F.min("hops").alias("hops")
+        )
         if hop % 8 == 0 and hop < max_hops:
             found = cut_lineage(found)
     return found
@@ -228,22 +240,20 @@ def breach_impact(
     edges: DataFrame, findings: DataFrame, events: DataFrame, origin: str, max_hops: int = 5
 ) -> DataFrame:
     """Ancestors and descendants of a table with categories, status and estimated rows."""
-    down = reachable(edges, [origin], max_hops).withColumn(
-        "direction", F.when(F.col("hops") == 0, "origin").otherwise("descendant")
-    )
-    up = reachable(edges, [origin], max_hops, upstream=True).where(F.col("hops") > 0).withColumn(
-        "direction", F.lit("ancestor")
-    )
-    facts = findings.where(F.col("flagged")).groupBy("table_id").agg(
+    reached = reachable(edges, [origin], max_hops).withColumn(
+        "direction", F.when(F.col("hops") == 0, "origin").otherwise(F.col("direction"))
+    ).groupBy("table_id", "direction").agg(F.min("hops").alias("hops"))
+    facts = findings.where(F.col("flagged")).groupBy("table_id", "pii_category").agg(
+        F.max(status_rank(F.col("status"))).alias("rank")
+    ).groupBy("table_id").agg(
         F.sort_array(F.collect_set("pii_category")).alias("pii_categories"),
-        rank_status(F.max(status_rank(F.col("status")))).alias("status"),
+        rank_status(F.max("rank")).alias("status"),
     )
-    link = findings.groupBy("table_id").agg(F.min("scanner_event_id").alias("scanner_event_id"))
-    rows = link.join(
+    rows = table_events(findings).join(
         events.select(F.col("id").alias("scanner_event_id"), "estimated_row_count"),
         "scanner_event_id",
     ).drop("scanner_event_id")
-    return down.unionByName(up).join(facts, "table_id", "left").join(rows, "table_id", "left")
+    return reached.join(facts, "table_id", "left").join(rows, "table_id", "left")
 
 
 def impact_total(impact: DataFrame) -> DataFrame:

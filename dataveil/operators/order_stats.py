@@ -96,32 +96,32 @@ def exact_quantiles(
     return joined.select(group, "n", *outputs)
 
 
-def hash_cutoffs(df: DataFrame, key_hash: Column, shares: list[float]) -> list[Column]:
-    """Hashes below which exactly floor(share_1 * n), then + floor(share_2 * n), ... rows lie.
+def hash_cutoffs(df: DataFrame, key_hash: Column, shares: list[float]) -> list[str]:
+    """Hashes up to which exactly floor(share_1 * n), then + floor(share_2 * n), ... rows lie.
 
-    Each cut-off is a scalar subquery. Only the counts per leading four hex digits (65,536 rows)
-    and the rows of the one leading value a cut-off falls into are ever ordered.
+    Runs one job and brings back one hash per share. Only the counts per leading four hex digits
+    (65,536 rows) and the rows of the leading values a cut-off falls into are ever ordered.
     """
     hashed = df.select(key_hash.alias("h")).withColumn("lead", F.substring("h", 1, 4))
-    counts = hashed.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
-    running = counts.withColumn("end", F.sum("n").over(Window.orderBy("lead"))).withColumn(
-        "start", F.col("end") - F.col("n")
+    upto = Window.orderBy("lead")
+    everything = upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = hashed.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).select(
+        "lead", F.sum("n").over(upto).alias("end"), (F.sum("n").over(upto) - F.col("n")).alias("start"),
+        F.sum("n").over(everything).alias("total"),
     )
-    total = F.col("total")
-    sized = running.withColumn("total", counts.select(F.sum("n")).scalar())
-    cutoffs, wanted = [], F.lit(0)
-    for share in shares:
-        wanted = wanted + F.floor(F.lit(float(share)) * total)
-        bucket = sized.where((F.col("start") <= wanted - 1) & (wanted - 1 < F.col("end"))).select(
-            "lead", (wanted - F.col("start")).alias("place")
-        )
-        inside = Window.partitionBy("lead").orderBy("h")
-        ranked = hashed.join(bucket, "lead").withColumn("rn", F.row_number().over(inside))
-        cutoffs.append(
-            F.coalesce(ranked.where(F.col("rn") == F.col("place")).select(F.max("h")).scalar(),
-                       F.lit(""))
-        )
-    return cutoffs
+    wanted, points = F.lit(0).cast("long"), []
+    for i, share in enumerate(shares):
+        wanted = wanted + F.floor(F.lit(float(share)) * F.col("total"))
+        points.append(F.struct(F.lit(i).alias("id"), wanted.alias("wanted")))
+    places = counts.select("lead", "start", "end", F.explode(F.array(*points)).alias("p")).where(
+        (F.col("p.wanted") > F.col("start")) & (F.col("p.wanted") <= F.col("end"))
+    ).select("lead", "p.id", (F.col("p.wanted") - F.col("start")).alias("place"))
+    inside = Window.partitionBy("id", "lead").orderBy("h")
+    found = hashed.join(places, "lead").withColumn("rn", F.row_number().over(inside)).where(
+        F.col("rn") == F.col("place")
+    ).select("id", "h").collect()
+    by_id = {row["id"]: row["h"] for row in found}
+    return [by_id.get(i, "") for i in range(len(shares))]
 
 
 def train_val_test(
@@ -129,12 +129,12 @@ def train_val_test(
 ) -> DataFrame:
     """Label every row train, val or test by the hash order of its unique key.
 
-    Exact sizes: floor(train * n), floor(val * n), the rest. One map over the data after the
-    cut-offs are known; no row is moved.
+    Exact sizes: floor(train * n), floor(val * n), the rest. Once the two cut-offs are known the
+    split is a map over the data; no row is moved.
     """
     key_hash = F.sha2(F.concat_ws("~", key.cast("string"), F.lit(str(seed))), 256)
     first, second = hash_cutoffs(df, key_hash, [train, val])
     return df.withColumn(
-        "split", F.when(key_hash <= first, "train").when(key_hash <= second, "val")
-        .otherwise("test"),
+        "split", F.when(key_hash <= F.lit(first), "train")
+        .when(key_hash <= F.lit(max(first, second)), "val").otherwise("test"),
     )

@@ -38,44 +38,32 @@ def sliding_counts(
 
 
 def next_at_or_after(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    left_ts: str,
-    right_ts: str,
-    *,
-    out: str = "next_ts",
-    bucket_seconds: int = 3600,
+    df: DataFrame, key: str, ts: str, is_start: Column, is_end: Column, *,
+    out: str = "next_at", bucket_seconds: int = 3600,
 ) -> DataFrame:
-    """For each distinct (key, left instant): the first right instant of the key not before it.
+    """For each distinct (key, instant) of the start rows: the first end of the key not before it.
 
-    Returns (key, left_ts, n, out) where n counts the equal left rows; *out* is null where nothing
-    follows. Both instants in microseconds.
+    Returns (key, at, n, out), instants in microseconds; n counts the equal starts and *out* is
+    null where no end follows.
     """
-    starts = left.groupBy(F.col(key), micros(F.col(left_ts)).alias("at")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    ends = right.groupBy(F.col(key), micros(F.col(right_ts)).alias("at")).agg(
-        F.lit(0).cast("long").alias("n")
-    )
-    bucket = F.floor(F.col("at") / F.lit(bucket_seconds * 1_000_000))
-    both = starts.withColumn("end_at", F.lit(None).cast("long")).unionByName(
-        ends.withColumn("end_at", F.col("at"))
-    ).withColumn("bucket", bucket)
-    inside = Window.partitionBy(key, "bucket").orderBy(F.desc("at")).rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
+    folded = df.where(is_start | is_end).groupBy(F.col(key), micros(F.col(ts)).alias("at")).agg(
+        F.count_if(is_start).alias("n"), F.count_if(is_end).alias("ends")
+    ).select(
+        key, "at", "n", F.when(F.col("ends") > 0, F.col("at")).alias("end_at"),
+        F.floor(F.col("at") / F.lit(bucket_seconds * 1_000_000)).alias("bucket"),
     )
-    near = both.withColumn("near", F.min("end_at").over(inside)).where(F.col("n") > 0)
+    inside = Window.partitionBy(key, "bucket").orderBy(F.desc("at"))
+    near = folded.withColumn("near", F.min("end_at").over(inside)).where(F.col("n") > 0)
 
-    # One row per (key, bucket) that has starts or ends; the next end in any later bucket.
+    # One row per (key, bucket); the next end in any later bucket.
     later = Window.partitionBy(key).orderBy(F.desc("bucket")).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    far = both.groupBy(key, "bucket").agg(F.min("end_at").alias("first_end")).select(
+    far = folded.groupBy(key, "bucket").agg(F.min("end_at").alias("first_end")).select(
         key, "bucket", F.min("first_end").over(later).alias("far")
     )
     return near.join(far, [key, "bucket"]).select(
-        key, F.col("at").alias(left_ts), "n", F.coalesce("near", "far").alias(out)
+        key, "at", "n", F.coalesce("near", "far").alias(out)
     )
 
 
