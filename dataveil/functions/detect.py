@@ -43,6 +43,9 @@ SPAN_SHAPES = {
     "PHONE": r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}",
 }
 
+# A character without which a text cannot hold a span; searching it is much cheaper.
+SPAN_MARKS = {"EMAIL": "@", "PHONE": "+"}
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """*body* over a value that is computed once per row, however often the body refers to it.
@@ -89,25 +92,22 @@ def label_points(name: Column, value: Column) -> list[Column]:
     return points
 
 
-def score_array(column_name: Column, value: Column) -> Column:
-    """Array of (label, score) in label order; null for a null value."""
-    labels = F.array(*[F.lit(label) for label in LABELS])
-
-    def shares(points: Column) -> Column:
-        total = F.aggregate(points, F.lit(0), lambda a, p: a + p)
-        return let(total, lambda t: F.zip_with(
-            labels, points,
-            lambda label, p: F.struct(label.alias("label"), (p / t).alias("score")),
-        ))
-
-    text = F.struct(F.lower(column_name).alias("name"), value.alias("value"))
-    points = let(text, lambda x: F.array(*label_points(x["name"], x["value"])))
-    return let(points, shares)
-
-
 def with_scores(df: DataFrame, column_name: str = "column_name", value: str = "value") -> DataFrame:
-    """Add ``scores``: an array of (label, score) in label order. Native expressions only."""
-    return df.withColumn("scores", score_array(F.col(column_name), F.col(value)))
+    """Add ``scores``: an array of (label, score) in label order. Native expressions only.
+
+    The points are made in a plain projection, which is compiled, and pass through a generator, so
+    that later filters and columns use them instead of repeating the rules.
+    """
+    points = F.array(*label_points(F.lower(F.col(column_name)), F.col(value)))
+    made = df.withColumn("_made", points).select("*", F.explode(F.array("_made")).alias("_points"))
+    total = F.aggregate("_points", F.lit(0), lambda a, p: a + p)
+    shares = F.array(*[
+        F.struct(F.lit(label).alias("label"), (F.col("_points")[i] / F.col("_total")).alias("score"))
+        for i, label in enumerate(LABELS)
+    ])
+    return made.withColumn("_total", total).withColumn("scores", shares).drop(
+        "_made", "_points", "_total"
+    )
 
 
 def top_label(scores: Column) -> Column:
@@ -120,10 +120,12 @@ def top_label(scores: Column) -> Column:
 
 def with_top_label(df: DataFrame, scores: str = "scores") -> DataFrame:
     """Add ``label`` and ``score`` of the best label."""
-    best = df.withColumn("_best", F.explode(F.array(top_label(F.col(scores)))))
+    best = df.withColumn("_made", top_label(F.col(scores))).select(
+        "*", F.explode(F.array("_made")).alias("_best")
+    )
     return best.withColumns(
         {"label": F.col("_best.label"), "score": F.col("_best.score")}
-    ).drop("_best")
+    ).drop("_best", "_made")
 
 
 def is_flagged(category: Column, confidence: Column, threshold: float = FLAG_THRESHOLD) -> Column:
@@ -137,9 +139,16 @@ def text_spans(
 
     Holds raw values; mask or hash ``span`` before anything leaves the job.
     """
+    def matches(category: str) -> Column:
+        spans = F.regexp_extract_all(F.col(text), F.lit(SPAN_SHAPES[category]), F.lit(0))
+        if category in SPAN_MARKS:
+            none = F.array().cast("array<string>")
+            return F.when(F.contains(F.col(text), F.lit(SPAN_MARKS[category])), spans).otherwise(none)
+        return spans
+
     def found(category: str) -> Column:
         return F.transform(
-            F.regexp_extract_all(F.col(text), F.lit(SPAN_SHAPES[category]), F.lit(0)),
+            matches(category),
             lambda span, i: F.struct(
                 F.lit(category).alias("category"), i.cast("int").alias("position"),
                 span.alias("span"),

@@ -25,35 +25,40 @@ _TRIMMED = r"regexp_replace({v}, r'^\s+|\s+$', '')"
 _DIGITS = r"regexp_replace({v}, r'\D', '')"
 _DIALLED = r"regexp_replace({v}, r'[\s\-.()]', '')"
 
+
+def _let(name: str, value: str, body: str) -> str:
+    """*body* over a value that is computed once, in SQL."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 # Words keep their length, an initial capital and one trailing non-letter; their letters come from
 # the word's hash.
-_WORD_BODY = r"regexp_replace(w, r'\P{{L}}$', '')"
-_WORD_LETTERS = (
-    f"substr(translate(sha2(lower({_WORD_BODY}), 256), '0123456789abcdef', 'ABCDEFGHIJKLMNOP'),"
-    f" 1, length({_WORD_BODY}))"
+_LETTERS = (
+    "translate(left(sha2(lower(b), 256), length(b)), '0123456789abcdef', 'ABCDEFGHIJKLMNOP')"
+)
+_CASED = (
+    r"CASE WHEN w RLIKE r'^\p{{Lu}}' THEN concat(left(p, 1), lower(substr(p, 2))) ELSE p END"
 )
-_WORD = (
-    f"concat(CASE WHEN w RLIKE r'^\\p{{{{Lu}}}}' THEN concat(substr({_WORD_LETTERS}, 1, 1),"
-    f" lower(substr({_WORD_LETTERS}, 2))) ELSE {_WORD_LETTERS} END,"
-    r" regexp_extract(w, r'(\P{{L}})$', 1))"
+_WORD = _let(
+    "b", r"regexp_replace(w, r'\P{{L}}$', '')",
+    f"concat({_let('p', _LETTERS, _CASED)}, substr(w, length(b) + 1))",
 )
-_WORDS = f"filter(split({_TRIMMED}, r'\\s+'), w -> w <> '')"
+_NAME = f"array_join(transform(regexp_extract_all({{v}}, r'\\S+', 0), w -> {_WORD}), ' ')"
 
 # Country code: the digits between + and the next separator; without one, up to three digits.
-_PREFIX = (
-    r"coalesce(nullif(regexp_extract({v}, r'^[\s\-.()]*(\+\d{{1,3}})[\s\-.()]', 1), ''),"
-    f" nullif(regexp_extract({_DIALLED}, r'^(\\+\\d{{{{1,3}}}})', 1), ''))"
-)
-_GREEDY_PREFIX = f"nullif(regexp_extract({_DIALLED}, r'^(\\+\\d{{{{1,3}}}})', 1), '')"
+_SEPARATED = r"nullif(regexp_extract({v}, r'^[\s\-.()]*(\+\d{{1,3}})[\s\-.()]', 1), '')"
+_GREEDY = r"nullif(regexp_extract(t, r'^(\+\d{{1,3}})', 1), '')"
 
 
 def _phone(prefix: str) -> str:
-    return (
-        r"CASE WHEN {v} RLIKE r'^\+\d{{1,3}}-\*+$' OR {v} RLIKE r'^\*{{4,}}$' THEN {v} "
-        f"WHEN {prefix} IS NOT NULL THEN concat({prefix}, '-', "
-        f"repeat('*', length({_DIALLED}) - length({prefix}))) "
+    starred = (
+        "CASE WHEN c IS NOT NULL THEN concat(c, '-', repeat('*', length(t) - length(c))) "
         f"ELSE repeat('*', greatest(length({_DIGITS}), 4)) END"
     )
+    return (
+        r"CASE WHEN {v} RLIKE r'^(\+\d{{1,3}}-\*+|\*{{4,}})$' THEN {v} ELSE "
+        f"{_let('t', _DIALLED, _let('c', prefix, starred))} END"
+    )
 
 
 _RULES = {
@@ -62,9 +67,8 @@ _RULES = {
     "CREDIT_CARD": r"CASE WHEN {v} RLIKE r'^\*{{4}}(-\*{{4}}){{2}}-\d{{4}}$' THEN {v} "
                    f"WHEN length({_DIGITS}) < 4 THEN '****-****-****-****' "
                    f"ELSE concat('****-****-****-', right({_DIGITS}, 4)) END",
-    "FULL_NAME": f"CASE WHEN size({_WORDS}) = 0 THEN '{REDACTED}' "
-                 f"ELSE array_join(transform({_WORDS}, w -> {_WORD}), ' ') END",
-    "PHONE": _phone(_PREFIX),
+    "FULL_NAME": rf"CASE WHEN {{v}} RLIKE r'\S' THEN {_NAME} ELSE '{REDACTED}' END",
+    "PHONE": _phone(f"coalesce({_SEPARATED}, {_GREEDY})"),
     "DATE_OF_BIRTH": r"CASE WHEN {v} RLIKE r'(19|20)\d{{2}}' THEN "
                      r"concat(regexp_extract({v}, r'((19|20)\d{{2}})', 1), '-**-**') "
                      f"ELSE '{REDACTED}' END",
@@ -87,7 +91,7 @@ def mask_sql(category: str, value: str, *, greedy_country_code: bool = False) ->
     if rule is None:
         raise ValueError(f"No mask for category {category!r}")
     if greedy_country_code and category.upper() == "PHONE":
-        rule = _phone(_GREEDY_PREFIX)
+        rule = _phone(_GREEDY)
     body = rule.format(v=value)
     return f"CASE WHEN {value} IS NULL OR {value} = '{REDACTED}' THEN '{REDACTED}' ELSE {body} END"
 

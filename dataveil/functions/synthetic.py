@@ -139,7 +139,7 @@ def labelled_sql(hashed: str) -> str:
     return f"""
         SELECT key, label, locale, CASE label {names} END AS column_name,
                CASE label WHEN 'CREDIT_CARD' THEN {grouped} {values} END AS value
-        FROM (SELECT *, {number} AS c,
+        FROM (SELECT *, CASE WHEN label = 'CREDIT_CARD' THEN {number} END AS c,
                      CASE CAST(substr(d, 40, 3) AS INT) % 3 WHEN 0 THEN ' ' ELSE '-' END AS s
               FROM (SELECT *, {body} AS b
                     FROM (SELECT *, CASE WHEN {pick(CARD_PREFIXES, 1)} = '37' THEN 14 ELSE 15 END AS n
@@ -153,7 +153,7 @@ def labelled_rows(keys: DataFrame, key: str, seed: int = 42) -> DataFrame:
         return F.struct(
             label.alias("label"),
             F.translate(h, "abcdef", "012345").alias("d"),
-            F.translate(h, "0123456789abcdef", "ABCDEFGHIJKLMNOP").alias("a"),
+            F.translate(F.substring(h, 1, 18), "0123456789abcdef", "ABCDEFGHIJKLMNOP").alias("a"),
         )
 
     # The hashes are made inside the generator, so later filters cannot repeat them.

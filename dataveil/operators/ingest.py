@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dataveil.functions.columns import sha_key
 from dataveil.functions.vocab import EXTENSION_FORMATS, FORMAT_SOURCE_TYPES, SOURCE_TYPES
@@ -34,10 +35,19 @@ def _missing(fields: dict[str, Column]) -> tuple[Column, Column]:
     return F.size(names) > 0, F.concat(F.lit("missing: "), F.array_join(names, ", "))
 
 
+def _parsed(messages: DataFrame, schema: T.StructType) -> DataFrame:
+    """Messages with their JSON as struct ``j``.
+
+    The struct comes out of a generator: later filters and fields refer to its result, where a
+    plain column would be parsed again at each reference.
+    """
+    text = messages.withColumn("original", message_text(F.col("value")))
+    return text.select("*", F.explode(F.array(F.from_json("original", schema, _JSON))).alias("j"))
+
+
 def parse_table_events(messages: DataFrame) -> DataFrame:
     """Parsed ``table.created`` fields of column ``value`` with ``error`` (null where valid)."""
-    text = messages.withColumn("original", message_text(F.col("value")))
-    parsed = text.withColumn("j", F.from_json("original", TABLE_CREATED_JSON, _JSON))
+    parsed = _parsed(messages, TABLE_CREATED_JSON)
     broken = F.col("j").isNull() | F.col("j._corrupt_record").isNotNull()
     count = F.col("j.column_count")
     created = F.col("j.created_at")
@@ -53,8 +63,7 @@ def parse_table_events(messages: DataFrame) -> DataFrame:
 
 def parse_file_events(messages: DataFrame) -> DataFrame:
     """Parsed object-created notifications: the full envelope or the bare detail."""
-    text = messages.withColumn("original", message_text(F.col("value")))
-    parsed = text.withColumn("j", F.from_json("original", FILE_MOVED_JSON, _JSON))
+    parsed = _parsed(messages, FILE_MOVED_JSON)
     inner = F.when(
         F.col("j.detail").isNotNull(),
         F.struct("j.detail.bucket", "j.detail.object", "j.detail.CopySource"),
@@ -97,20 +106,18 @@ def table_scan_events(parsed: DataFrame) -> DataFrame:
     )
 
 
+def _lookup(values: dict[str, str], key: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, key), F.lit("unknown"))
+
+
 def file_format(key: Column) -> Column:
     """Format by the last extension of the key, ``unknown`` for any other."""
-    extension = F.lower(F.regexp_extract(key, r"[^/](\.[^./]+)$", 1))
-    found = F.lit("unknown")
-    for ext, name in EXTENSION_FORMATS.items():
-        found = F.when(extension == ext, F.lit(name)).otherwise(found)
-    return found
+    return _lookup(EXTENSION_FORMATS, F.lower(F.regexp_extract(key, r"[^/](\.[^./]+)$", 1)))
 
 
 def format_source_type(fmt: Column) -> Column:
-    found = F.lit("unknown")
-    for name, source_type in FORMAT_SOURCE_TYPES.items():
-        found = F.when(fmt == name, F.lit(source_type)).otherwise(found)
-    return found
+    return _lookup(FORMAT_SOURCE_TYPES, fmt)
 
 
 def file_scan_events(parsed: DataFrame) -> DataFrame:

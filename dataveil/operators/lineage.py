@@ -115,6 +115,10 @@ def copy_edges(file_events: DataFrame) -> DataFrame:
     )
 
 
+# Rows of one token that one task compares with the token's other rows.
+_BLOCK_ROWS = 1000
+
+
 # ---- similar column profiles ------------------------------------------------------------------
 
 def table_profiles(
@@ -161,27 +165,46 @@ def similarity_edges(profiles: DataFrame, percent: int = 80) -> DataFrame:
     tokens = groups.select("profile", F.explode("tokens").alias("token"))
     frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
     ranked = tokens.join(frequency, "token").groupBy("profile").agg(
-        F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("by_freq")
+        F.sort_array(F.collect_list(F.struct("freq", F.xxhash64("token").alias("token"))))
+        .alias("by_freq")
     )
     kept = F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)) + 1
     prefixed = groups.join(ranked, "profile").select(
         "tokens", "oldest", "size",
-        F.slice("by_freq", F.lit(1), kept.cast("int")).alias("prefix"),
+        F.slice("by_freq.token", F.lit(1), kept.cast("int")).alias("prefix"),
+    )
+    entries = prefixed.select("*", F.posexplode("prefix").alias("position", "entry"))
+
+    # A token that many groups share is split: the left side into parts of about a thousand rows,
+    # each of which meets a copy of the right side.
+    blocks = entries.groupBy("entry").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(_BLOCK_ROWS)).cast("int").alias("parts")
     )
-    entries = prefixed.select("*", F.explode("prefix").alias("entry"))
-    a, b = entries.alias("a"), entries.alias("b")
+    tasks = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = entries.join(blocks, "entry")
+    left = sized.withColumn("part", F.pmod(F.xxhash64("oldest"), "parts").cast("int"))
+    right = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    a = left.repartition(tasks, "entry", "part").alias("a")
+    b = right.repartition(tasks, "entry", "part").alias("b")
     common = F.size(F.array_intersect("a.tokens", "b.tokens"))
     union = F.col("a.size") + F.col("b.size") - common
+    # Sizes alone say how many tokens must be shared; from the first shared one on, no more can be
+    # than the shorter rest.
+    needed = (F.col("a.size") + F.col("b.size")) * percent
+    possible = F.least(F.col("a.size") - F.col("a.position"), F.col("b.size") - F.col("b.position"))
+    # Pairs that share several prefix tokens count at the first of them only. Cheap tests come
+    # first: the condition is evaluated in order.
+    first = F.element_at(F.array_intersect("a.prefix", "b.prefix"), 1)
     pairs = a.join(
         b,
-        (F.col("a.entry") == F.col("b.entry"))
-        & (F.col("a.oldest") < F.col("b.oldest"))
+        (F.col("a.entry") == F.col("b.entry")) & (F.col("a.part") == F.col("b.part"))
         & (F.col("b.size") * 100 >= F.col("a.size") * percent)
-        & (F.col("a.size") * 100 >= F.col("b.size") * percent),
-    ).where(
-        # Pairs that share several prefix tokens count at the first of them only.
-        F.col("a.entry") == F.element_at(F.array_intersect("a.prefix", "b.prefix"), 1)
-    ).where(common * 100 >= union * percent)
+        & (F.col("a.size") * 100 >= F.col("b.size") * percent)
+        & (possible * (100 + percent) >= needed)
+        & (F.col("a.oldest") < F.col("b.oldest"))
+        & (F.col("a.entry") == first)
+        & (common * 100 >= union * percent),
+    )
     similar = pairs.select(
         F.col("a.oldest.table_id").alias("parent_table_id"),
         F.col("b.oldest.table_id").alias("child_table_id"),

@@ -76,6 +76,11 @@ def macro_f1(scored: DataFrame) -> float:
     return overall_scores(report).first()["macro_f1_present"]
 
 
+def spread(df: DataFrame, tasks: int) -> DataFrame:
+    """At least so many partitions, as training visits the rows many times."""
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def train(
     train_rows: DataFrame, val_rows: DataFrame, *, features: int = 1024, iterations: int = 20,
     reg_params: tuple[float, ...] = (1e-4, 1e-2),
@@ -84,8 +89,9 @@ def train(
 
     Both sets are stored once, since every fit and every check reads them again.
     """
-    fit_rows = cut_lineage(label_ids(featurize(train_rows)))
-    check_rows = cut_lineage(label_ids(featurize(val_rows)))
+    tasks = train_rows.sparkSession.sparkContext.defaultParallelism
+    fit_rows = cut_lineage(spread(label_ids(featurize(train_rows)), tasks))
+    check_rows = cut_lineage(spread(label_ids(featurize(val_rows)), tasks))
     best: TrainedModel | None = None
     for reg_param in reg_params:
         model = Pipeline(stages=_stages(features, reg_param, iterations)).fit(fit_rows)
