@@ -101,3 +101,18 @@ def finding_rows(classified: DataFrame, scanner_event_id: Column, at: Column) ->
         F.when(F.col("flagged"), "flagged").otherwise("clean").alias("status"),
         at.alias("created_at"),
     )
+
+
+def replay(cells: DataFrame, version: str, classify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Stored cells run through another classifier, marked with its version."""
+    return classify(cells).withColumn("model_version", F.lit(version))
+
+
+def label_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Columns whose category differs between two replays."""
+    keys = ["table_id", "column_name"]
+    old = before.select(*keys, F.col("pii_category").alias("old_category"),
+                        F.col("model_version").alias("old_version"))
+    new = after.select(*keys, F.col("pii_category").alias("new_category"),
+                       F.col("model_version").alias("new_version"))
+    return old.join(new, keys).where(F.col("old_category") != F.col("new_category"))

@@ -30,13 +30,15 @@ def build_session(app: str = "dataveil", master: str | None = None, **conf: str)
 def shared_root(spark: SparkSession) -> str:
     """Folder that every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a fresh local folder is made and set.
+    Only where the cluster names none, as in tests on one machine, the context gets a new local one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="dataveil-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="dataveil-"))
+    return context.getCheckpointDir()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -47,6 +49,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of *df* in the shared folder, so a lost executor cannot lose it."""
     spark = df.sparkSession
+    root = shared_root(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
+        spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint()

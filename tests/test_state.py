@@ -289,3 +289,44 @@ def test_report(spark, tmp_path):
         writers.write_report(report, str(tmp_path), stamp)
     assert spark.read.json(f"{tmp_path}/latest.json").first()["macro_f1"] == 0.97
     assert {p.name for p in tmp_path.iterdir()} == {"eval_1.json", "eval_2.json", "latest.json"}
+
+
+# ---- shared folder ------------------------------------------------------------------------------
+
+class _NoFolder:
+    """A session whose cluster names no checkpoint folder."""
+
+    def __init__(self, spark, directory):
+        self.sparkContext = self
+        self.conf = self
+        self.directory = directory
+
+    def get(self, key, default=None):
+        return default
+
+    def getCheckpointDir(self):
+        return self.directory
+
+    def setCheckpointDir(self, path):
+        self.directory = path
+
+
+def test_shared_root(spark):
+    from dataveil.session import cut_lineage, fresh_path, shared_root
+
+    assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert fresh_path(spark, "x") != fresh_path(spark, "x")
+    bare = _NoFolder(spark, None)
+    first = shared_root(bare)
+    assert os.path.isdir(first) and shared_root(bare) == first
+    assert cut_lineage(spark.range(3)).count() == 3
+
+
+def test_progress_offsets(spark):
+    from dataveil.operators import health
+
+    report = {"timestamp": "2024-01-01T00:00:00.000Z", "sources": [{
+        "latestOffset": {"t": {"0": 100_000, "1": 150_000}}, "endOffset": {"t": {"0": 10, "1": 20}}}]}
+    rows = health.consumer_lag(health.progress_offsets(spark, [report, {"timestamp": "x", "sources": [
+        {"latestOffset": None, "endOffset": None}]}])).collect()
+    assert [(r["topic"], r["lag"], r["severity"]) for r in rows] == [("t", 249_970, "critical")]
