@@ -101,6 +101,8 @@ def probe_masked(identifiers: DataFrame, df: DataFrame, key: list[str], column:
 
 
 def _hits(identifiers: DataFrame, tokens: DataFrame, key: list[str]) -> DataFrame:
-    counted = tokens.groupBy("identifier_hash", *key).agg(F.count(F.lit(1)).alias("hits"))
+    """Tokens are filtered before they are counted: only those asked for are ever grouped."""
     wanted = identifiers.select("identifier_hash").distinct()
-    return counted.join(wanted, "identifier_hash", "left_semi")
+    return tokens.join(wanted, "identifier_hash", "left_semi").groupBy(
+        "identifier_hash", *key
+    ).agg(F.count(F.lit(1)).alias("hits"))

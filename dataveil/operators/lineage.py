@@ -235,7 +235,7 @@ def reachable(
         sides.append(("ancestor", "child_table_id", "parent_table_id"))
     steps = edges.select(F.explode(F.array(*[
         F.struct(F.lit(name).alias("direction"), F.col(start).alias("_from"),
-                 F.col(end).alias("next_id"))
+                 F.lit(True).alias("_live"), F.col(end).alias("next_id"))
         for name, start, end in sides
     ])).alias("s")).select("s.*")
     found = literal_rows(edges.sparkSession, "table_id", origins).withColumns({
@@ -243,8 +243,10 @@ def reachable(
         "hops": F.lit(0),
     })
     for hop in range(1, max_hops + 1):
-        last = F.when(F.col("hops") == hop - 1, F.col("table_id"))
-        joined = found.withColumn("_from", last).join(steps, ["direction", "_from"], "left")
+        # Tables found earlier match nothing, but keep their own key: null keys would all meet in
+        # one task.
+        live = found.withColumns({"_from": F.col("table_id"), "_live": F.col("hops") == hop - 1})
+        joined = live.join(steps, ["direction", "_from", "_live"], "left")
         both = F.array(
             F.struct("table_id", "hops"),
             F.struct(F.col("next_id").alias("table_id"), F.lit(hop).alias("hops")),

@@ -17,9 +17,18 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
     ).select("r.*")
 
 
-def absent_rows(rows: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose key is not stored yet: the first write of a key wins."""
-    return rows.join(existing.select(*keys).distinct(), keys, "left_anti")
+def absent_rows(
+    rows: DataFrame, existing: DataFrame, keys: list[str], *, few: bool = False
+) -> DataFrame:
+    """The rows whose key is not stored yet: the first write of a key wins.
+
+    With *few* rows against a long history, the history is first reduced to the keys asked for; it
+    is then scanned but, as long as the rows can be broadcast, not shuffled.
+    """
+    known = existing.select(*keys)
+    if few:
+        known = known.join(rows.select(*keys), keys, "left_semi")
+    return rows.join(known.distinct(), keys, "left_anti")
 
 
 def latest_state(log: DataFrame, entity: str = "entity_id", order: tuple[str, ...] = ("at", "seq")) -> DataFrame:

@@ -39,12 +39,13 @@ def sliding_counts(
 
 def next_at_or_after(
     df: DataFrame, key: str, ts: str, is_start: Column, is_end: Column, *,
-    out: str = "next_at", bucket_seconds: int = 3600,
+    out: str = "next_at", bucket_seconds: int = 60,
 ) -> DataFrame:
     """For each distinct (key, instant) of the start rows: the first end of the key not before it.
 
     Returns (key, at, n, out), instants in microseconds; n counts the equal starts and *out* is
-    null where no end follows.
+    null where no end follows. A bucket bounds both windows: the inner one by the instants of a
+    bucket, the outer one, which sees one row per bucket, by the buckets of the whole time span.
     """
     folded = df.where(is_start | is_end).groupBy(F.col(key), micros(F.col(ts)).alias("at")).agg(
         F.count_if(is_start).alias("n"), F.count_if(is_end).alias("ends")

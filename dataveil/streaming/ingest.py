@@ -27,7 +27,8 @@ def ingest_batch(messages: DataFrame, kind: str, root: str, batch_id: int) -> No
     events = normalise(parsed)
     once = first_per_key(events, ["event_id"], ["created_at", "raw_event"])
     stored = read_batches(spark, root, "scanner_events", events.schema)
-    fresh = absent_rows(once, stored.where(stored["batch"] < batch_id), ["event_id"])
+    earlier = stored.where(stored["batch"] < batch_id)
+    fresh = absent_rows(once, earlier, ["event_id"], few=True)
     write_batch(fresh, root, "scanner_events", batch_id)
     written = spark.read.schema(events.schema).parquet(f"{root}/scanner_events/batch={batch_id}")
     write_batch(candidate_messages(candidate_rows(written)), root, "candidates", batch_id)
