@@ -122,7 +122,8 @@ def is_masked(value: Column, category: str) -> Column:
     shape = {
         "EMAIL": value.rlike(HASHED),
         "CREDIT_CARD": value.rlike(MASKED_CARD) | (value == "****-****-****-****"),
-        "PHONE": value.rlike(MASKED_PHONE) | value.rlike(STARS),
+        # A number that was nothing but its country code keeps no star.
+        "PHONE": value.rlike(MASKED_PHONE) | value.rlike(STARS) | value.rlike(r"^\+\d{1,3}-$"),
         "DATE_OF_BIRTH": value.rlike(r"^(19|20)\d{2}-\*\*-\*\*$"),
     }.get(category.upper())
     return redacted if shape is None else redacted | shape
