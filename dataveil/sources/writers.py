@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,7 +106,3 @@ def write_report(report: DataFrame, root: str, stamp: str) -> None:
     """One report under its stamp and as the latest one."""
     for name in (f"eval_{stamp}.json", "latest.json"):
         report.write.mode("overwrite").json(f"{root.rstrip('/')}/{name}")
-
-
-def report_struct(**parts: Column) -> Column:
-    return F.to_json(F.struct(*[c.alias(n) for n, c in parts.items()]))
