@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dataveil.llm import near_dup
+from dataveil.llm import decontaminate, near_dup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +25,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @_query
 def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, folder, "documents"), width=2, percent=80)
+
+
+@_query
+def op9_winnowing_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    listed = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), "contaminated")
