@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataveil.llm import decontaminate, near_dup
+from dataveil.llm import decontaminate, near_dup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,10 @@ def op9_winnowing_decontamination(spark: SparkSession, folder: str) -> DataFrame
     found = decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     listed = F.sha2(F.array_join("items", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), "contaminated")
+
+
+@_query
+def op3_ngram_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held_out = _table(spark, folder, "documents"), F.pmod(toxicity.id_checksum(F.col("doc_id")), F.lit(3)) == 1
+    model = toxicity.fit(docs, _table(spark, folder, "labels").where(~held_out))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
