@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataveil.llm import decontaminate, near_dup, toxicity
+from dataveil.llm import decontaminate, lm_score, near_dup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,10 @@ def op3_ngram_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, held_out = _table(spark, folder, "documents"), F.pmod(toxicity.id_checksum(F.col("doc_id")), F.lit(3)) == 1
     model = toxicity.fit(docs, _table(spark, folder, "labels").where(~held_out))
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@_query
+def op10_backoff_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.pmod(toxicity.id_checksum(F.col("doc_id")), F.lit(10)) == 0
+    found = lm_score.lm_scores(_table(spark, folder, "documents"), ~held_out)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
