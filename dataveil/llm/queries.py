@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataveil.llm import decontaminate, lm_score, near_dup, toxicity
+from dataveil.llm import decontaminate, lm_score, mixing, near_dup, sharding, toxicity, vector_dup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,18 @@ def op10_backoff_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.pmod(toxicity.id_checksum(F.col("doc_id")), F.lit(10)) == 0
     found = lm_score.lm_scores(_table(spark, folder, "documents"), ~held_out)
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query
+def op4_feistel_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_digest(_table(spark, folder, "documents"))
+
+
+@_query
+def op7_weighted_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_digest(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_query
+def op8_kmeans_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dup.near_duplicate_vectors(_table(spark, folder, "embeddings"))
