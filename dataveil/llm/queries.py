@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataveil.llm import decontaminate, lm_score, mixing, near_dup, sharding, toxicity, vector_dup
+from dataveil.llm import decontaminate, lm_score, mixing, near_dup, pii, sharding, toxicity, vector_dup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,8 @@ def op7_weighted_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op8_kmeans_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return vector_dup.near_duplicate_vectors(_table(spark, folder, "embeddings"))
+
+
+@_query
+def op1_boosted_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pii_digest(_table(spark, folder, "documents"))
