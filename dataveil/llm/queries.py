@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataveil.llm import decontaminate, lm_score, mixing, near_dup, pii, sharding, toxicity, vector_dup
+from dataveil.llm import decontaminate, language, lm_score, mixing, near_dup, pii, secrets, sharding, toxicity, vector_dup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,13 @@ def op8_kmeans_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op1_boosted_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pii_digest(_table(spark, folder, "documents"))
+
+
+@_query
+def op6_randomness_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_digest(_table(spark, folder, "documents"))
+
+
+@_query
+def op2_fused_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(_table(spark, folder, "pages"), language.text_model(_table(spark, folder, "documents")))
