@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataveil.llm import decontaminate, language, lm_score, mixing, near_dup, pii, secrets, sharding, toxicity, vector_dup
+from dataveil.llm import decontaminate, language, lm_score, mixing, near_dup, oracles, pii, secrets, sharding, toxicity, vector_dup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
 
 
 def _query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
