@@ -2,8 +2,8 @@
 
 Letters are lower-cased (A-Z), every run of other ASCII characters becomes one space, and n-grams of 4
 to 6 bytes are hashed into ``BUCKETS`` features, each present in a text or not. A feature's value is
-its log-count ratio between the classes, drawn towards zero by ``DOUBT`` standard errors, so that what
-a few texts show by chance has none. The weights are a ridge-penalised logistic fit.
+its log-count ratio between the classes, drawn towards zero by ``DOUBT`` standard errors and dropped
+below ``LEAST``, so that what a few texts show by chance has none. The weights are a ridge-penalised logistic fit.
 
 Learning reads at most about ``LABEL_ROWS`` labelled rows (the ratios) and ``FIT_ROWS`` of these (the
 weights), chosen by a hash. Labels are broadcast, so no text is shuffled; scoring is one pass.
@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dataveil.llm import words as W
+from dataveil.llm.store import stored
 
 ORDERS = (4, 5, 6)
 BUCKETS = 1 << 20
 LABEL_ROWS = 200_000
 FIT_ROWS = 15_000
 DOUBT = 3.0
+LEAST = 0.7
 RIDGE = 1e-3
 STEPS = 80
 THRESHOLD = 0.7
@@ -98,20 +100,22 @@ def _ratios(labelled: DataFrame) -> np.ndarray:
         for i in range(0, len(names), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in (names, clean, toxic)], ["bucket", "clean", "toxic"])
 
-    summed = (  # at most BUCKETS + 1 rows
+    summed = (
         labelled.mapInArrow(count, "bucket long, clean long, toxic long")
-        .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+        .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     )
-    seen = np.ones((2, BUCKETS))
-    totals = np.full((2, 1), 2.0)
-    inner, whole = summed[summed["bucket"] >= 0], summed[summed["bucket"] < 0]
-    totals += whole[["clean", "toxic"]].to_numpy().sum(axis=0)[:, None]
-    seen[:, inner["bucket"].to_numpy()] += inner[["clean", "toxic"]].to_numpy().T
-    if totals.min() <= 2:
-        return np.zeros(BUCKETS)
-    ratio = np.log(seen[1] / totals[1]) - np.log(seen[0] / totals[0])
-    doubt = DOUBT * np.sqrt(1 / seen[0] + 1 / seen[1])
-    return np.sign(ratio) * np.maximum(0, np.abs(ratio) - doubt)
+    summed = stored(summed, "features")  # at most BUCKETS + 1 rows
+    whole = summed.where("bucket < 0").first()
+    ratios = np.zeros(BUCKETS, np.float32)
+    if whole is None or not (whole["clean"] and whole["toxic"]):
+        return ratios
+    toxic, clean = F.col("toxic") + 1, F.col("clean") + 1
+    ratio = F.log(toxic / (whole["toxic"] + 2)) - F.log(clean / (whole["clean"] + 2))
+    drawn = F.signum(ratio) * (F.abs(ratio) - DOUBT * F.sqrt(1 / toxic + 1 / clean))
+    firm = summed.where("bucket >= 0").select("bucket", ratio.alias("ratio"), drawn.alias("drawn")).where((F.col("ratio") * F.col("drawn") > 0) & (F.abs("drawn") >= LEAST))
+    for row in firm.toLocalIterator():
+        ratios[row["bucket"]] = row["drawn"]
+    return ratios
 
 
 def _fit(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray) -> ToxicityModel:
@@ -124,17 +128,17 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray) -> Toxi
     number = np.zeros(BUCKETS, np.int32)
     number[used] = np.arange(len(used))
     column = number[np.concatenate(rows)]
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     value = ratios[used][column]
     share = 0.5 / np.where(labels == 1, counts[1], counts[0])
 
     def forward(w: np.ndarray) -> np.ndarray:
-        return np.bincount(row, value * w[column], len(rows))
+        return np.bincount(row, value * w.astype(np.float32)[column], len(rows))
 
     def backward(e: np.ndarray) -> np.ndarray:
-        return np.bincount(column, value * e[row], len(used))
+        return np.bincount(column, value * e.astype(np.float32)[row], len(used))
 
-    probe = np.ones(len(used))
+    probe = np.ones(len(used), np.float64)
     for _ in range(8):
         probe = backward(share * forward(probe / np.linalg.norm(probe)))
     steep = 0.3 * np.linalg.norm(probe) + RIDGE
@@ -160,16 +164,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(f[ratios[f] != 0]) for f in map(_features, _texts(batch.column("text")))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "label", "found"]
-            )
+            found = [np.unique(f[ratios[f] != 0]).astype(np.int32).tobytes() for f in map(_features, _texts(batch.column("text")))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "found"])
 
     n = labelled.count()
     sample = labelled.where(F.col("chance") < FIT_ROWS / max(n, FIT_ROWS)).select("doc_id", "label", "text")
-    rows = sample.mapInArrow(pick, "doc_id long, label int, found array<long>").toPandas()  # about FIT_ROWS rows
-    rows = rows.assign(size=rows["found"].map(len)).sort_values(["doc_id", "label", "size"], kind="stable")
-    return _fit([np.asarray(f, np.int64) for f in rows["found"]], rows["label"].to_numpy(), ratios)
+    rows = sorted(tuple(r) for r in sample.mapInArrow(pick, "doc_id long, label int, found binary").collect())  # about FIT_ROWS
+    return _fit([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows], np.int64), ratios)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
