@@ -19,7 +19,7 @@ question, and the block builds that part of the automaton which its texts can re
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,17 @@ def _pairs(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return W.mix(W.mix(before) * _U(0x9E3779B97F4A7C15) + tokens)
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """64-bit numbers with all first bytes before all second ones and so on, which compresses well."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack(packed: pa.ChunkedArray) -> list[np.ndarray]:
+    """The packed numbers of each row, as unsigned values."""
+    planes = (np.frombuffer(p, np.uint8).reshape(8, -1) for p in packed.to_pylist())
+    return [np.ascontiguousarray(p.T).view(np.uint64).ravel() for p in planes]
+
+
 def _slices(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where each of *parts* equal ranges of the key space begins among sorted keys, and their end."""
     edges = [(p << 64) // parts for p in range(parts)]
@@ -67,24 +78,26 @@ def _slices(keys: np.ndarray, parts: int) -> np.ndarray:
 def _totals(docs: DataFrame, train: Column) -> tuple[int, int]:
     """Tokens of the training texts, and how many different ones."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
+        seen = 0
 
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(inverse, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+        def given(keys: np.ndarray, seen: int) -> pa.RecordBatch:
+            n = np.zeros(len(keys), np.int64)
+            n[0] = seen
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 tokens, _ = _tokens(batch.column("text").slice(i, 2000))
-                held.append(np.unique(tokens, return_counts=True))
+                held.append(np.unique(tokens))
+                seen += len(tokens)
                 if len(held) >= 8:
-                    held = [fold()]
-                    if len(held[0][0]) > 1 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["key", "n"])
-                        held = []
+                    held = [np.unique(np.concatenate(held))]
+                    if len(held[0]) > 1 << 20:
+                        yield given(held[0], seen)
+                        held, seen = [], 0
         if held:
-            keys, n = fold()
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+            yield given(np.unique(np.concatenate(held)), seen)
 
     row = (
         docs.where(train).select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -93,9 +106,12 @@ def _totals(docs: DataFrame, train: Column) -> tuple[int, int]:
     return row[0], row[1]
 
 
-def _ask(parts: int):
+def _ask(parts: int) -> Callable:
     def ask(block: pa.Table) -> pa.Table:
-        """A block's distinct words and pairs with its own training counts, cut by key range."""
+        """A block's distinct words and pairs with its own training counts, cut by key range.
+
+        Keys are sent as their steps in sorted order.
+        """
         tokens, first = _tokens(block.column("text").combine_chunks())
         learnt = np.repeat(block.column("train").to_numpy(), np.diff(first))
         out: dict[str, list] = {c: [] for c in ("block", "kind", "part", "keys", "counts")}
@@ -106,32 +122,31 @@ def _ask(parts: int):
             for p in np.flatnonzero(np.diff(cuts)):
                 out["kind"].append(kind)
                 out["part"].append(int(p))
-                out["keys"].append(keys[cuts[p] : cuts[p + 1]].view(np.int64))
-                out["counts"].append(counts[cuts[p] : cuts[p + 1]])
+                out["keys"].append(_pack(np.diff(keys[cuts[p] : cuts[p + 1]], prepend=_U(0))))
+                out["counts"].append(_pack(counts[cuts[p] : cuts[p + 1]]))
         out["block"] = [block.column("block")[0].as_py()] * len(out["kind"])
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
     return ask
 
 
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-
-
 def _answer(part: pa.Table) -> pa.Table:
     """The corpus counts of every key of a range, to each block in the order it asked."""
-    keys, sizes = _flat(part.column("keys")).view(np.uint64), part.column("keys").combine_chunks().value_lengths().to_numpy()
-    kind = np.repeat(part.column("kind").to_numpy(), sizes)
-    total = np.empty(len(keys), np.int64)
+    asked = [np.cumsum(steps, dtype=np.uint64) for steps in _unpack(part.column("keys"))]
+    counts = _unpack(part.column("counts"))
+    kind = part.column("kind").to_numpy()
+    totals: list[bytes] = [b""] * len(asked)
     for k in (_WORDS, _PAIRS):
-        mine = kind == k
-        found, inverse = np.unique(keys[mine], return_inverse=True)
-        total[mine] = np.bincount(inverse, _flat(part.column("counts"))[mine], len(found)).astype(np.int64)[inverse]
-    cuts = np.concatenate([[0], np.cumsum(sizes)])
-    answers = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(total))
+        mine = np.flatnonzero(kind == k)
+        if len(mine):
+            found, inverse = np.unique(np.concatenate([asked[i] for i in mine]), return_inverse=True)
+            total = np.bincount(inverse, np.concatenate([counts[i] for i in mine]), len(found)).astype(np.int64)[inverse]
+            cuts = np.cumsum([0, *(len(asked[i]) for i in mine)])
+            for i, lo, hi in zip(mine, cuts, cuts[1:]):
+                totals[i] = _pack(total[lo:hi])
     return pa.Table.from_arrays(
-        [part.column("block"), part.column("kind"), part.column("part"), answers], ["block", "kind", "part", "totals"]
+        [part.column("block"), part.column("kind"), part.column("part"), pa.array(totals, pa.binary())], ["block", "kind", "part", "totals"]
     )
 
 
@@ -178,18 +193,18 @@ class Automaton:
         return out
 
 
-def _walk(parts: int, tokens_all: int, kinds: int, starts: int):
-    def totals(answers: pa.Table, kind: int, keys: np.ndarray) -> np.ndarray:
+def _walk(tokens_all: int, kinds: int, starts: int) -> Callable:
+    def totals(answers: pa.Table, kind: int) -> np.ndarray:
         own = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("part")
-        return _flat(own.column("totals")) if own.num_rows else np.zeros(len(keys), np.int64)
+        return np.concatenate([np.zeros(0, np.int64), *(t.view(np.int64) for t in _unpack(own.column("totals")))])
 
     def walk(block: pa.Table, answers: pa.Table) -> pa.Table:
         tokens, first = _tokens(block.column("text").combine_chunks())
         words, number = np.unique(tokens, return_inverse=True)
-        count = totals(answers, _WORDS, words)
-        pairs, place = np.unique(_pairs(tokens, first), return_index=True)
+        count = totals(answers, _WORDS)
+        _, place = np.unique(_pairs(tokens, first), return_index=True)
         before = np.where(np.isin(place, first[:-1]), len(words), number[place - 1])
-        machine = Automaton(count, starts, (before.astype(np.int64), number[place].astype(np.int64), totals(answers, _PAIRS, pairs)), tokens_all, kinds)
+        machine = Automaton(count, starts, (before.astype(np.int64), number[place].astype(np.int64), totals(answers, _PAIRS)), tokens_all, kinds)
         score = machine.walk(number.astype(np.int64), first)
         known = np.concatenate([[0], np.cumsum(count[number] > 0)])
         base = np.add.reduceat(machine.root[number], first[:-1]) if len(first) > 1 else np.zeros(0)
@@ -216,9 +231,9 @@ def lm_scores(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES, pa
     blocks, parts = max(1, -(-size[0] // block_bytes)), max(1, -(-size[0] // part_bytes))
     place = F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(blocks))
     placed = rows.select(place.alias("block"), "doc_id", "text", "train")
-    asked = placed.groupBy("block").applyInArrow(_ask(parts), "block long, kind int, part int, keys array<long>, counts array<long>")
-    answered = asked.groupBy("part").applyInArrow(_answer, "block long, kind int, part int, totals array<long>")
+    asked = placed.groupBy("block").applyInArrow(_ask(parts), "block long, kind int, part int, keys binary, counts binary")
+    answered = asked.groupBy("part").applyInArrow(_answer, "block long, kind int, part int, totals binary")
     return placed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
-        _walk(parts, tokens, kinds, size[1]),
+        _walk(tokens, kinds, size[1]),
         "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
