@@ -7,8 +7,8 @@ country code, and identity and account numbers.
 
 Every candidate has a few small format and context features, so that all candidates of a corpus fall
 into at most ``CELLS`` cells. The trees are trained on these cells, weighted with their counts: base
-matches that pass their check are positive, those that fail it negative. The threshold is the least at
-which held-out cells reach ``PRECISION``. Proposals in cells above it become spans. Cell counts cover
+matches that pass their check are positive, those that fail it negative. A quarter of the candidates is
+held out, and the threshold is the least at which these reach ``PRECISION``. Proposals in cells above it become spans. Cell counts cover
 the whole corpus, and the training data has the same bound at every size.
 
 Patterns are possessive and anchored, which finds the same leftmost matches as the plain forms in time
@@ -147,7 +147,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def _trained(cells: DataFrame) -> list[int]:
-    """Cells whose proposals become spans. *cells* (cell, base, n) has at most 3 * CELLS rows."""
+    """Cells whose proposals become spans. *cells* (cell, base, held, n) has at most 5 * CELLS rows."""
     spread = cells
     below = 1
     for name, levels in reversed(list(zip(FEATURES, LEVELS))):
@@ -155,20 +155,19 @@ def _trained(cells: DataFrame) -> list[int]:
         below *= levels
     points = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(spread).coalesce(1)
     known = points.where("base is not null").withColumn("label", F.col("base").cast("double")).withColumn("weight", F.log1p("n"))
-    held = F.pmod(F.xxhash64("cell"), F.lit(4)) == 0
-    fitted = known.where(~held)
+    fitted = known.where(~F.col("held"))
     if fitted.select("label").distinct().count() < 2 or points.where("base is null").isEmpty():
         return []
     model = GBTClassifier(labelCol="label", weightCol="weight", maxDepth=4, maxIter=8, stepSize=0.3, seed=3).fit(fitted)
     chance = vector_to_array("probability").getItem(1)
-    told = model.transform(known.where(held)).select(chance.alias("p"), "label", "weight").collect()
+    told = model.transform(known.where("held")).select(chance.alias("p"), "label", "weight").collect()
     threshold = 1.01
     for t in sorted({r["p"] for r in told if r["p"] >= 0.5}, reverse=True):
         above = [r for r in told if r["p"] >= t]
         if sum(r["weight"] * r["label"] for r in above) >= PRECISION * sum(r["weight"] for r in above):
             threshold = t
     chosen = model.transform(points.where("base is null")).where(chance >= threshold)
-    return sorted(r["cell"] for r in chosen.select("cell").collect())
+    return sorted(r["cell"] for r in chosen.select("cell").distinct().collect())
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
@@ -181,7 +180,8 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     of both outcomes there is no model, and nothing is added.
     """
     found = stored(candidates(docs), "pii-candidates")
-    cells = found.select(F.explode("found").alias("c")).groupBy("c.cell", "c.base").agg(F.count("*").alias("n"))
+    held = F.pmod(F.xxhash64("doc_id", "c.start"), F.lit(4)) == 0
+    cells = found.select("doc_id", F.explode("found").alias("c")).groupBy("c.cell", "c.base", held.alias("held")).agg(F.count("*").alias("n"))
     chosen = _trained(stored(cells, "pii-cells"))
     order = F.array(*[F.lit(k) for k in KINDS])
 
