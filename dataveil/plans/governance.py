@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dataveil.functions.detect import SPAN_SHAPES, text_spans
 from dataveil.functions.masks import STRATEGIES, mask
 from dataveil.operators import audit, checks, dsar, governance, inventory
-from dataveil.plans.inventory import STATUS, categories
+from dataveil.plans.inventory import FURTHEST, sorted_labels
 from dataveil.plans.masking import _spans_sql
 from dataveil.plans.oracle import NOW
 from dataveil.plans.registry import query
@@ -158,7 +158,7 @@ def _(c):
            'High-confidence sensitive data detected: ' || s.source_name AS subject, t.table_id,
            s.source_name, s.owner_email, t.flagged_categories, t.max_confidence,
            'pending' AS status, 0 AS retry_count, p.listed
-    FROM (SELECT table_id, {categories()} AS flagged_categories, max(confidence) AS max_confidence
+    FROM (SELECT table_id, {sorted_labels('pii_category')} AS flagged_categories, max(confidence) AS max_confidence
           FROM pii_findings WHERE flagged GROUP BY 1) t
     JOIN ({_SOURCES_SQL}) s ON s.table_id = t.table_id
     JOIN (SELECT table_id, CAST(count(*) AS INT) AS listed FROM ({_TOP_SQL}) GROUP BY 1) p
@@ -179,7 +179,7 @@ def _(c):
     SELECT table_id, 'remediation_completed' AS event_type, source_name,
            flagged_count AS row_count, flagged_categories, CAST(NULL AS VARCHAR) AS slack
     FROM (SELECT f.table_id, s.source_name, count(*) AS flagged_count,
-                 {categories().replace('pii_category', 'f.pii_category')} AS flagged_categories
+                 {sorted_labels('f.pii_category')} AS flagged_categories
           FROM pii_findings f JOIN ({_SOURCES_SQL}) s ON s.table_id = f.table_id
           WHERE f.flagged GROUP BY 1, 2)""")
 def _(c):
@@ -209,7 +209,7 @@ def _(c):
 # ---- data-subject requests --------------------------------------------------------------------
 
 def _search_sql(category: str) -> str:
-    status = STATUS.replace("status =", "f.status =")
+    status = FURTHEST.replace("status", "f.status")
     return f"""
         SELECT e.source_name, f.table_id, e.data_source_type, e.owner_email,
                e.estimated_row_count, max(f.created_at) AS last_scanned, {status} AS status,

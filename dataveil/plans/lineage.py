@@ -8,7 +8,7 @@ from dataveil.functions.vocab import CHILD_KEYWORDS
 from dataveil.operators import ingest, lineage
 from dataveil.plans.events import FILE_SQL
 from dataveil.plans.governance import _SOURCES_SQL
-from dataveil.plans.inventory import STATUS, categories
+from dataveil.plans.inventory import FURTHEST, sorted_labels
 from dataveil.plans.oracle import NOW
 from dataveil.plans.registry import query
 from dataveil.sources.control import AS_OF
@@ -23,7 +23,7 @@ _VIEW_SQL = f"""
           UNION ALL
           SELECT parent_table_id, 'child', child_table_id, confidence, inference_method
           FROM lineage_edges) b
-    LEFT JOIN (SELECT table_id, {STATUS} AS status FROM pii_findings WHERE flagged GROUP BY 1) f
+    LEFT JOIN (SELECT table_id, {FURTHEST} AS status FROM pii_findings WHERE flagged GROUP BY 1) f
       ON f.table_id = b.related_table_id
     LEFT JOIN ({_SOURCES_SQL}) s ON s.table_id = b.related_table_id"""
 
@@ -130,7 +130,7 @@ _IMPACT_SQL = f"""
     SELECT r.node AS table_id, r.hops, r.direction,
            coalesce(f.pii_categories, '') AS pii_categories, f.status, e.estimated_row_count
     FROM ({_REACH_SQL}) r
-    LEFT JOIN (SELECT table_id, {categories()} AS pii_categories, {STATUS} AS status
+    LEFT JOIN (SELECT table_id, {sorted_labels('pii_category')} AS pii_categories, {FURTHEST} AS status
                FROM pii_findings WHERE flagged GROUP BY 1) f ON f.table_id = r.node
     LEFT JOIN (SELECT table_id, min(scanner_event_id) AS id FROM pii_findings GROUP BY 1) l
       ON l.table_id = r.node
