@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,14 +23,23 @@ def rate_breaches(
     return counts.where(F.col("calls") > max_calls)
 
 
-def accept(window: deque, at: int, wanted: int, max_calls: int, window_seconds: int) -> int:
-    """How many of *wanted* calls at second *at* fit; *window* holds (second, accepted) pairs."""
-    while window and window[0][0] <= at - window_seconds:
-        window.popleft()
-    taken = min(wanted, max(0, max_calls - sum(n for _, n in window)))
-    if taken:
-        window.append((at, taken))
-    return taken
+class Window:
+    """Accepted calls of the last *seconds*, with their running total."""
+
+    def __init__(self, max_calls: int, seconds: int) -> None:
+        self.max_calls, self.seconds = max_calls, seconds
+        self.held: deque[tuple[int, int]] = deque()
+        self.total = 0
+
+    def accept(self, at: int, wanted: int) -> int:
+        """How many of *wanted* calls at second *at* fit."""
+        while self.held and self.held[0][0] <= at - self.seconds:
+            self.total -= self.held.popleft()[1]
+        taken = min(wanted, max(0, self.max_calls - self.total))
+        if taken:
+            self.held.append((at, taken))
+            self.total += taken
+        return taken
 
 
 def limited_calls(
@@ -40,7 +49,8 @@ def limited_calls(
 
     Which calls fit depends on those accepted before, so a key is walked in time order: calls are
     folded to one row per second, each key's seconds are sorted in one partition and read as a
-    stream of batches. A task keeps at most *max_calls* entries, however long a key is.
+    stream of batches. A task keeps at most *max_calls* entries, however long a key is. A null key is
+    a key like any other.
     """
     folded = df.groupBy(F.col(key), seconds(F.col(ts)).alias("sec")).agg(
         F.count(F.lit(1)).alias("n")
@@ -48,17 +58,18 @@ def limited_calls(
     ordered = folded.repartition(key).sortWithinPartitions(key, "sec")
     schema = T.StructType([*ordered.schema.fields, T.StructField("accepted", T.LongType())])
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, window = None, deque()
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, window = object(), Window(max_calls, window_seconds)
         for batch in batches:
             accepted = []
-            for who, at, wanted in zip(batch[key], batch["sec"], batch["n"]):
+            rows = zip(*(batch.column(c).to_pylist() for c in (key, "sec", "n")))
+            for who, at, wanted in rows:
                 if who != current:
-                    current, window = who, deque()
-                accepted.append(accept(window, at, wanted, max_calls, window_seconds))
-            batch["accepted"] = accepted
-            yield batch
+                    current, window = who, Window(max_calls, window_seconds)
+                accepted.append(window.accept(at, wanted))
+            columns = [*batch.columns, pa.array(accepted, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "accepted"])
 
-    return ordered.mapInPandas(walk, schema).withColumn(
+    return ordered.mapInArrow(walk, schema).withColumn(
         "rejected", F.col("n") - F.col("accepted")
     )

@@ -170,7 +170,7 @@ def _(c):
     return limiter.rate_breaches(c.table("events"), "user_id", "ts", 1, 3600)
 
 
-@query("rate_limited", """
+RATE_LIMITED_SQL = """
     WITH RECURSIVE s AS (
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec) AS rn
         FROM (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec, count(*) AS n
@@ -186,6 +186,9 @@ def _(c):
               FROM (SELECT s.user_id, s.rn, s.sec, s.n,
                            list_filter(w.kept, lambda t: t > s.sec - 86400) AS live
                     FROM walk w JOIN s ON s.user_id = w.user_id AND s.rn = w.rn + 1)))
-    SELECT user_id, sec, n, accepted, n - accepted AS rejected FROM walk""")
+    SELECT user_id, sec, n, accepted, n - accepted AS rejected FROM walk"""
+
+
+@query("rate_limited", RATE_LIMITED_SQL)
 def _(c):
     return limiter.limited_calls(c.table("events"), "user_id", "ts", 2, 86400)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataveil.operators import ingest
+from dataveil.plans.health import RATE_LIMITED_SQL
 from dataveil.plans.registry import query
 from dataveil.session import fresh_path
 from dataveil.streaming import limiter, rollup
@@ -13,11 +14,11 @@ from dataveil.streaming.ingest import run_ingest, stored_events
 
 
 def _stream(c, table: str = "events") -> DataFrame:
-    """The table as a stream of files."""
-    schema = c.table(table).schema
-    return c.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(
-        c.folder
-    )
+    """The table as a stream of files, whether it is stored as one file or as a folder of parts.
+
+    A stream takes a plain path for a folder; as a pattern it may be either.
+    """
+    return c.spark.readStream.schema(c.table(table).schema).parquet(f"{c.folder}/{table}.parque[t]")
 
 
 @query("stream_rollup", """
@@ -36,10 +37,9 @@ def _(c):
     return stored.select("event_id", "user_id", "event_type")
 
 
-@query("stream_limiter")
+@query("stream_limiter", RATE_LIMITED_SQL)
 def _(c):
-    limited = limiter.limited_stream(_stream(c), "user_id", "ts", 2, 86400)
-    return limiter.run_limiter(limited, fresh_path(c.spark, "limiter"))
+    return limiter.run_limiter(_stream(c), "user_id", "ts", 2, fresh_path(c.spark, "limiter"), 86400)
 
 
 def _messages(c, raw: DataFrame) -> DataFrame:

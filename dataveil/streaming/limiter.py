@@ -1,65 +1,29 @@
-"""Stateful sliding-window limiter on a stream."""
+"""Sliding-window limiter over a stream of calls."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from dataveil.functions.columns import seconds
 from dataveil.functions.vocab import RATE_WINDOW_SECONDS
-from dataveil.operators.limiter import accept
+from dataveil.operators.limiter import limited_calls
 from dataveil.streaming.batches import read_batches, run_available, write_batch
 
-_STATE = "seconds array<long>, counts array<long>"
-
 
-def limited_stream(
-    stream: DataFrame, key: str, ts: str, max_calls: int,
-    window_seconds: int = RATE_WINDOW_SECONDS, watermark: str = "1 day",
+def run_limiter(
+    stream: DataFrame, key: str, ts: str, max_calls: int, root: str,
+    window_seconds: int = RATE_WINDOW_SECONDS,
 ) -> DataFrame:
-    """Each call with ``accepted``; rejected calls leave no trace in the state.
+    """Drain the stream of calls and judge them: accepted and rejected calls per (key, second).
 
-    Calls are judged as they arrive, batch by batch, so neither a busy key nor a long one is ever
-    gathered. A key's state is at most *max_calls* pairs and goes when the watermark has passed
-    the last of them by a window.
+    Whether a call fits depends on earlier ones, which may arrive later. So batches only store their
+    calls, exactly once, and verdicts are given over all that is stored, in time order: no call is
+    late, and neither file order nor batch size changes a verdict.
     """
-    calls = stream.select(
-        F.col(key), F.col(ts).cast("timestamp").alias("at"),
-        seconds(F.col(ts)).alias("sec"),
-    ).withWatermark("at", watermark)
-    schema = f"{key} {stream.schema[key].dataType.simpleString()}, sec long, accepted boolean"
-
-    def judge(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        window = deque(zip(*state.get)) if state.exists else deque()
-        clock = window[-1][0] if window else None
-        for batch in batches:
-            batch = batch.sort_values("sec", kind="stable")
-            taken = []
-            for sec in batch["sec"]:
-                clock = sec if clock is None else max(clock, sec)
-                taken.append(accept(window, clock, 1, max_calls, window_seconds) == 1)
-            yield batch.assign(accepted=taken)[[key, "sec", "accepted"]]
-        state.update(([int(s) for s, _ in window], [int(n) for _, n in window]))
-        idle_from = (int(clock) + window_seconds) * 1000
-        state.setTimeoutTimestamp(max(idle_from, state.getCurrentWatermarkMs() + 1))
-
-    return calls.groupBy(key).applyInPandasWithState(
-        judge, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-def run_limiter(limited: DataFrame, root: str) -> DataFrame:
-    """Drain the stream and return the judged calls."""
-    writer = limited.writeStream.outputMode("append").foreachBatch(
+    calls = stream.select(F.col(key), F.col(ts))
+    writer = calls.writeStream.outputMode("append").foreachBatch(
         lambda batch, batch_id: write_batch(batch, root, "calls", batch_id)
     )
     run_available(writer, f"{root}/_checkpoint")
-    return read_batches(limited.sparkSession, root, "calls", limited.schema).drop("batch")
+    stored = read_batches(stream.sparkSession, root, "calls", calls.schema)
+    return limited_calls(stored, key, ts, max_calls, window_seconds)

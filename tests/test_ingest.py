@@ -146,7 +146,7 @@ def test_rollup_over_several_batches(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "ts", "event_type")
     events.repartitionByRange(4, "event_id").write.parquet(source)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    counts = rollup.windowed_counts(stream, "ts", "event_type", window="1 hour", watermark="40 days")
+    counts = rollup.windowed_counts(stream, "ts", "event_type", window="1 hour")
     found = rollup.run_rollup(counts, str(tmp_path / "out"))
     batch = events.groupBy(
         F.window("ts", "1 hour")["start"].cast("timestamp").alias("window_start"), "event_type"
@@ -173,20 +173,48 @@ def test_limiter_ignores_rejected_calls(spark, tmp_path):
     df = spark.createDataFrame(rows, "key string, ts timestamp_ntz").coalesce(1)
     df.write.parquet(source)
     stream = spark.readStream.schema(df.schema).parquet(source)
-    limited = limiter.limited_stream(stream, "key", "ts", 2, 60)
-    found = limiter.run_limiter(limited, str(tmp_path / "out")).orderBy("sec").collect()
-    assert [r["accepted"] for r in found] == [True, True, False, False, True, False, True]
+    found = limiter.run_limiter(stream, "key", "ts", 2, str(tmp_path / "out"), 60).orderBy("sec").collect()
+    assert [r["accepted"] for r in found] == [1, 1, 0, 0, 1, 0, 1]
 
 
-def test_limiter_state_crosses_batches(spark, tmp_path):
-    source = str(tmp_path / "in")
-    df = spark.createDataFrame([("k", AT)], "key string, ts timestamp_ntz").coalesce(1)
-    for s in (0, 1, 2):
-        df.withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.lit(s))).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    limited = limiter.limited_stream(stream, "key", "ts", 2, 60)
-    found = limiter.run_limiter(limited, str(tmp_path / "out")).collect()
-    assert sorted(r["accepted"] for r in found) == [False, True, True]
+def newest_first(spark, path, df):
+    """*df*, one row a file, and the stream of these files with the newest row first, one a batch."""
+    for row in df.orderBy(F.desc("ts")).collect():
+        spark.createDataFrame([row], df.schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_no_row_is_too_late(spark, tmp_path):
+    rows = [("k", i, AT + dt.timedelta(days=d)) for i, d in enumerate((0, 3, 30, 90))]
+    df = spark.createDataFrame(rows, "key string, id long, ts timestamp_ntz")
+    counts = rollup.windowed_counts(newest_first(spark, str(tmp_path / "a"), df), "ts", "key", window="1 hour")
+    assert rollup.run_rollup(counts, str(tmp_path / "counts")).agg(F.sum("n")).first()[0] == 4
+    twice = df.unionAll(df)
+    once = rollup.run_dedup(newest_first(spark, str(tmp_path / "b"), twice), "id", "ts", str(tmp_path / "once"))
+    assert sorted(r["id"] for r in once.collect()) == [0, 1, 2, 3]
+    judged = limiter.run_limiter(newest_first(spark, str(tmp_path / "c"), df), "key", "ts", 2, str(tmp_path / "calls"), 60)
+    assert sorted(r["accepted"] for r in judged.collect()) == [1, 1, 1, 1]
+
+
+def test_streams_of_folder_tables(spark, tmp_path):
+    from dataveil.plans import QUERIES
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("stream_rollup", "stream_dedup", "stream_limiter"):
+        whole, parts = QUERIES[name](spark, SF), QUERIES[name](spark, str(tmp_path))
+        assert whole.count() == parts.count() > 0 and parts.exceptAll(whole).count() == 0
+
+
+def test_limiter_keeps_null_and_large_keys(spark):
+    from dataveil.operators.limiter import limited_calls
+
+    rows = [(k, AT + dt.timedelta(seconds=s)) for k in (None, 9007199254740993, 9007199254740992) for s in range(5)]
+    found = limited_calls(spark.createDataFrame(rows, "key long, ts timestamp_ntz"), "key", "ts", 2, 60).collect()
+    taken = {}
+    for r in found:
+        taken[r["key"]] = taken.get(r["key"], 0) + r["accepted"]
+    assert taken == {None: 2, 9007199254740993: 2, 9007199254740992: 2}
 
 
 def test_kafka_options():

@@ -20,7 +20,7 @@ def con():
 def test_oracles_belong_to_queries():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"latency_approx", "stream_limiter", "train_classifier"}
+    assert set(QUERIES) - set(ORACLES) == {"latency_approx", "train_classifier"}
 
 
 def test_entry(spark):
@@ -51,12 +51,3 @@ def test_trained_model_reaches_target(spark):
     report = QUERIES["train_classifier"](spark, SF).collect()
     assert len(report) == 10
     assert sum(r["f1"] for r in report) / 10 >= 0.90
-
-
-def test_stream_limiter_agrees_with_batch(spark):
-    calls = QUERIES["stream_limiter"](spark, SF)
-    accepted = {(r[0], r[1]): r[2] for r in calls.selectExpr(
-        "user_id", "sec", "cast(accepted as long) as a").groupBy("user_id", "sec").sum("a").collect()}
-    batch = {(r["user_id"], r["sec"]): r["accepted"]
-             for r in QUERIES["rate_limited"](spark, SF).collect()}
-    assert accepted == batch
