@@ -43,6 +43,16 @@ SPAN_SHAPES = {
     "PHONE": r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}",
 }
 
+# Shapes that no output may hold, with borders in the syntax that Java and RE2 share: wider than the
+# spans above, as a leak check may call a harmless number a leak but must not miss one.
+LEAK_SHAPES = {
+    "CREDIT_CARD": r"(^|[^0-9A-Za-z])([0-9][ -]?){12,18}[0-9]($|[^0-9A-Za-z])",
+    "EMAIL": SPAN_SHAPES["EMAIL"],
+    "PHONE": r"\+[0-9]{1,3}[ .(-]*[0-9]{1,4}[0-9 ().-]{5,14}[0-9]",
+    "SSN": r"(^|[^0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}($|[^0-9A-Za-z-])",
+    "BANK_ACCOUNT": r"(^|[^0-9A-Za-z])[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){3,7}( ?[A-Z0-9]{1,3})?($|[^0-9A-Za-z])",
+}
+
 # A character without which a text cannot hold a span; searching it is much cheaper.
 SPAN_MARKS = {"EMAIL": "@", "PHONE": "+"}
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dataveil.functions.detect import SPAN_SHAPES
+from dataveil.functions.detect import LEAK_SHAPES
 from dataveil.functions.masks import quoted
 
 
@@ -34,7 +34,7 @@ def leak_counts(
     def leaks(text: Column) -> Column:
         tests = [F.contains(text, F.lit(s)) for s in sentinels or []]
         if detect:
-            tests += [text.rlike(shape) for shape in SPAN_SHAPES.values()]
+            tests += [text.rlike(shape) for shape in LEAK_SHAPES.values()]
         return reduce(lambda a, b: a | b, tests, F.lit(False))
 
     texts = _texts(df)

@@ -94,6 +94,24 @@ def quarantine_expired(
     )
 
 
+def expiry_transitions(manifest: DataFrame, as_of: str | datetime, root: str = "s3://pii-quarantine/") -> DataFrame:
+    """What a sweep changes: entries to warn of and entries to expire, with the time stamps they get.
+
+    Once stored and applied, an entry is neither warned of nor expired again.
+    """
+    now = clock(as_of, manifest, "quarantined_at")
+    none = F.lit(None).cast("timestamp_ntz")
+    columns = ["table_id", "quarantine_path"]
+    warned = quarantine_expiring(manifest, as_of).where("days_remaining > 0").select(
+        *columns, F.lit(None).cast("string").alias("expired_path"), F.lit("warn").alias("action"),
+        now.cast("timestamp_ntz").alias("warning_sent_at"), none.alias("expired_at"),
+    )
+    expired = quarantine_expired(manifest, as_of, root).where("action = 'expire'").select(
+        *columns, "expired_path", "action", none.alias("warning_sent_at"), now.cast("timestamp_ntz").alias("expired_at"),
+    )
+    return warned.unionByName(expired)
+
+
 def expiry_audit_details() -> Column:
     return F.struct(F.lit("30d_retention").alias("policy"), F.lit("expiry_sweep").alias("triggered_by"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dataveil.functions.columns import sha_key
 from dataveil.functions.masks import get_flagged, mask_table
 from dataveil.operators.audit import audit_rows
+from dataveil.operators.governance import expiry_transitions
+from dataveil.operators.state import quarantine_findings
 from dataveil.sources.files import copy_files, delete_files, inventory, list_files, plan_moves
 from dataveil.sources.writers import AppendOnlyTable, VersionedTable
 
@@ -44,18 +47,20 @@ def anonymize(
     audit.append(audit_rows(
         spark.range(1), F.lit("anonymization_completed"), F.lit(table_id), F.lit("etl:anonymizer"),
         at, details, F.lit("anonymize"),
-    ))
+    ), few=True)
     return summary
 
 
 def quarantine(
     spark: SparkSession, table_id: str, source_prefix: str, root: str, categories: list[str],
     manifest: AppendOnlyTable, audit: AppendOnlyTable, at: Column,
+    findings: DataFrame | None = None, transitions: AppendOnlyTable | None = None,
 ) -> dict:
     """Move a table's raw files below ``root/<table_id>/`` once.
 
-    Copy, then manifest, then audit, then delete the originals: a run that stops anywhere can be
-    repeated. A repeat after the manifest was stored finishes the delete and reports a skip.
+    Copy, then manifest, audit and the findings' change to quarantined (appended to *transitions*),
+    then delete the originals: a run that stops anywhere can be repeated. A repeat after the manifest
+    was stored finishes the rest and reports a skip.
     """
     moves = plan_moves(list_files(spark, source_prefix), source_prefix, root, table_id)
     known = not manifest.read().where(F.col("table_id") == table_id).isEmpty()
@@ -69,15 +74,45 @@ def quarantine(
         at.alias("quarantined_at"), F.lit(False).alias("legal_hold"),
     )
     if not known:
-        manifest.append(entry)
+        manifest.append(entry, few=True)
     stored = manifest.read().where(F.col("table_id") == table_id)
     audit.append(audit_rows(
         stored, F.lit("quarantine_completed"), F.col("table_id"), F.lit("etl:quarantine"), at,
         F.struct("quarantine_path", "flagged_categories", "file_count", "total_bytes",
                  F.col("id").alias("manifest_id")), F.lit("quarantine"),
-    ))
+    ), few=True)
+    if findings is not None and transitions is not None:
+        transitions.append(quarantine_findings(findings, stored, f"quarantine:{table_id}", at))
     delete_files(copied)
     row = stored.first()
     summary = {"table_id": table_id, "skipped": known, "file_count": row["file_count"],
                "total_bytes": row["total_bytes"], "quarantine_path": row["quarantine_path"]}
     return summary | ({"reason": "already_quarantined"} if known else {})
+
+
+def sweep(
+    spark: SparkSession, manifest: DataFrame, changes: AppendOnlyTable, audit: AppendOnlyTable,
+    as_of: str, at: Column,
+) -> int:
+    """Warn of and carry out expiries once: files move to ``expired/``, then the change and its audit row are stored.
+
+    *changes* holds the rows of ``expiry_transitions``, of which the manifest's state is made; an entry
+    that is in it already is neither warned of nor moved again. Returns the number of new rows.
+    """
+    known = changes.read().select("table_id", "action")
+    due = expiry_transitions(manifest, as_of).join(known, ["table_id", "action"], "left_anti")
+    for row in due.where("action = 'expire'").toLocalIterator():  # one row per table moved
+        root = row["expired_path"].rstrip("/").rpartition("/")[0]
+        try:
+            left = list_files(spark, row["quarantine_path"])
+        except AnalysisException as error:  # an earlier run moved all files and stopped before it stored that
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        delete_files(copy_files(plan_moves(left, row["quarantine_path"], root, row["table_id"])))
+    stored = changes.append(due)
+    audit.append(audit_rows(
+        changes.read().where("action = 'expire'"), F.lit("quarantine_expired"), F.col("table_id"), F.lit("etl:expiry"), at,
+        F.struct("quarantine_path", "expired_path"), F.lit("expiry"),
+    ))
+    return stored

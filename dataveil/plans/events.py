@@ -130,8 +130,9 @@ def _(c):
     from dataveil.sources.files import move_target
 
     events = ingest.file_scan_events(ingest.parse_file_events(c.raw_file_events()))
+    prefix = F.concat(F.lit("s3a://"), F.col("bucket"), F.lit("/data/"))
     target = move_target(
-        F.col("source_name"), "/data/", "s3://pii-quarantine/pending", F.col("event_id")
+        F.col("source_name"), prefix, "s3://pii-quarantine/pending", F.col("event_id")
     )
     return events.select(
         F.col("source_name").alias("path"),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dataveil.functions.detect import SPAN_SHAPES, text_spans
+from dataveil.functions.detect import LEAK_SHAPES, SPAN_SHAPES, text_spans
 from dataveil.functions.masks import STRATEGIES, mask
 from dataveil.operators import audit, checks, dsar, governance, inventory
 from dataveil.plans.inventory import FURTHEST, sorted_labels
-from dataveil.plans.masking import _spans_sql
+from dataveil.plans.masking import _spans_sql, card_sql, email_sql, phone_sql
 from dataveil.plans.oracle import NOW
 from dataveil.plans.registry import query
 from dataveil.sources.control import AS_OF
@@ -26,8 +26,7 @@ _MASKABLE = ", ".join(f"'{s}'" for s in STRATEGIES)
            lower(f.pii_category) AS strategy,
            's3://pii-quarantine/pending/' || f.table_id || '/' AS quarantine_path,
            CASE WHEN f.table_id IN (SELECT table_id FROM audit_log
-                                    WHERE event_type = 'anonymization_completed'
-                                      AND "timestamp" >= TIMESTAMP '2024-01-29 00:00:00')
+                                    WHERE event_type = 'anonymization_completed')
                 THEN 'already_anonymized' END AS mask_skip,
            CASE WHEN f.table_id IN (SELECT table_id FROM quarantine_manifest)
                 THEN 'already_quarantined'
@@ -37,13 +36,26 @@ _MASKABLE = ", ".join(f"'{s}'" for s in STRATEGIES)
     WHERE f.flagged AND f.pii_category IN ({_MASKABLE})
     GROUP BY f.table_id, s.source_name, s.data_source_type, f.column_name, f.pii_category""")
 def _(c):
-    # Only the completions since a date, so that some tables are still to be masked.
-    recent = audit.audit_filter(c.audit_log(), date_from="2024-01-29 00:00:00")
     return governance.remediation_plan(
-        c.pii_findings(), c.scanner_events(), recent, c.quarantine_manifest()
+        c.pii_findings(), c.scanner_events(), c.audit_log(), c.quarantine_manifest()
     )
 
 
+@query("expiry_transitions", f"""
+    SELECT table_id, quarantine_path, CAST(NULL AS VARCHAR) AS expired_path, 'warn' AS action,
+           {NOW} AS warning_sent_at, CAST(NULL AS TIMESTAMP) AS expired_at
+    FROM quarantine_manifest
+    WHERE expired_at IS NULL AND warning_sent_at IS NULL AND NOT legal_hold
+      AND quarantined_at <= {NOW} - INTERVAL 23 DAY AND quarantined_at > {NOW} - INTERVAL 30 DAY
+    UNION ALL
+    SELECT table_id, quarantine_path, replace(quarantine_path, '/pending/', '/expired/'), 'expire',
+           CAST(NULL AS TIMESTAMP), {NOW}
+    FROM quarantine_manifest
+    WHERE expired_at IS NULL AND NOT legal_hold AND quarantined_at <= {NOW} - INTERVAL 30 DAY""")
+def _(c):
+    return governance.expiry_transitions(c.quarantine_manifest(), AS_OF)
+
+
 _AGE = f"CAST((epoch_us({NOW}) - epoch_us(quarantined_at)) // 86400000000 AS BIGINT)"
 
 
@@ -122,7 +134,7 @@ _END = {
     "findings": "CASE WHEN status = 'remediated' THEN created_at + INTERVAL 60 MONTH "
                 "ELSE created_at + INTERVAL 24 MONTH END",
     "audit": '"timestamp" + INTERVAL 60 MONTH',
-    "samples": '"at" + INTERVAL 7 DAY',
+    "samples": "created_at + INTERVAL 7 DAY",
 }
 
 
@@ -132,13 +144,16 @@ _END = {
                min({end}) AS earliest_end FROM {table}"""
     for kind, end, table in (
         ("events", _END["events"], "scanner_events"), ("findings", _END["findings"], "pii_findings"),
-        ("audit", _END["audit"], "audit_log"), ("samples", _END["samples"], "transitions"))))
+        ("audit", _END["audit"], "audit_log"), ("samples", _END["samples"], "column_samples"))))
 def _(c):
     return governance.retention_summary(
         governance.retention_rows(c.scanner_events(), "events", "id", "created_at", _DUE_AT),
         governance.retention_rows(c.pii_findings(), "findings", "id", "created_at", _DUE_AT),
         governance.retention_rows(c.audit_log(), "audit", "id", "timestamp", _DUE_AT),
-        governance.retention_rows(c.transitions(), "samples", "entity_id", "at", _DUE_AT),
+        governance.retention_rows(
+            c.column_samples().withColumn("id", F.concat_ws(":", "table_id", "column_name")),
+            "samples", "id", "created_at", _DUE_AT,
+        ),
     )
 
 
@@ -280,17 +295,24 @@ _LEAK_OUTPUTS = {
     "register": ["source_name", "data_source_type", "owner_email", "purpose", "legal_basis",
                  "pii_categories", "current_status"],
     "masked_spans": ["category", "masked"],
+    "planted": ["category", "masked"],
 }
+_MASK_SQL = {"CREDIT_CARD": card_sql, "EMAIL": email_sql, "PHONE": phone_sql}
 
 
 def _leak_sql() -> str:
-    shapes = "|".join(f"({s})" for s in SPAN_SHAPES.values())
+    shapes = "|".join(f"({s})" for s in LEAK_SHAPES.values())
     from dataveil.plans.inventory import REGISTER_SQL
 
     spans = " UNION ALL ".join(
-        f"SELECT 1 AS n FROM ({_spans_sql('documents', 'doc_id', 'text', category)})"
+        f"SELECT doc_id, category, span, {_MASK_SQL[category]('span')} AS masked "
+        f"FROM ({_spans_sql('documents', 'doc_id', 'text', category)})"
         for category in SPAN_SHAPES
     )
+    outputs = {
+        "masked_spans": spans,
+        "planted": f"SELECT category, if(doc_id % 50 = 0, span, masked) AS masked FROM ({spans})",
+    }
     parts = [
         f"SELECT 'findings' AS output, '{n}' AS column_name, count(*) AS rows, "
         f"count(*) FILTER (WHERE regexp_matches({n}, '{shapes}')) AS leaks FROM pii_findings"
@@ -302,17 +324,16 @@ def _leak_sql() -> str:
         for n in _LEAK_OUTPUTS["register"]
     ]
     parts += [
-        f"SELECT 'masked_spans' AS output, '{n}' AS column_name, count(*) AS rows, "
-        f"CAST(0 AS BIGINT) AS leaks FROM ({spans})"
-        for n in _LEAK_OUTPUTS["masked_spans"]
+        f"SELECT '{output}' AS output, '{n}' AS column_name, count(*) AS rows, "
+        f"count(*) FILTER (WHERE regexp_matches({n}, '{shapes}')) AS leaks FROM ({rows})"
+        for output, rows in outputs.items() for n in _LEAK_OUTPUTS[output]
     ]
     return " UNION ALL ".join(parts)
 
 
 @query("leak_check", _leak_sql())
 def _(c):
-    # Masked tokens of sixteen digits in a row cannot occur: card masks keep four, e-mail masks
-    # are hexadecimal and are checked against the raw addresses instead.
+    # The planted output leaves some spans raw, so that a check that finds nothing is seen to fail.
     findings = checks.leak_counts(c.pii_findings(), "findings")
     register = checks.leak_counts(
         inventory.processing_register(c.pii_findings(), c.scanner_events(), c.ropa_annotations()),
@@ -322,10 +343,12 @@ def _(c):
     masked = F.lit(None).cast("string")
     for category in SPAN_SHAPES:
         masked = F.when(F.col("category") == category, mask("span", category)).otherwise(masked)
-    kept = spans.select("category", masked.alias("masked"))
+    kept = spans.select("doc_id", "category", "span", masked.alias("masked"))
+    raw = F.when(F.col("doc_id") % 50 == 0, F.col("span")).otherwise(F.col("masked"))
+    planted = kept.select("category", raw.alias("masked"))
     return findings.unionByName(register).unionByName(
-        checks.leak_counts(kept, "masked_spans", sentinels=["@"], detect=False)
-    )
+        checks.leak_counts(kept.select("category", "masked"), "masked_spans")
+    ).unionByName(checks.leak_counts(planted, "planted"))
 
 
 @query("leaked_values", f"""

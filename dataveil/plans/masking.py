@@ -154,19 +154,24 @@ def _(c):
 # ---- spans in text ----------------------------------------------------------------------------
 
 _ALL_TEXT = (("documents", "doc_id", "text"), ("pages", "page_id", "html"),
-             ("conversations", "conv_id * 1000 + turn", "text"))
+             ("conversations", "conv_id", "text"))
+# A conversation's rows are told apart by their turn, which other tables do not have.
+_TURN = {"conversations": "turn"}
 
 
 @query("pii_span_scan", " UNION ALL ".join(
-    f"""SELECT '{table}' AS source, row_id, category, position, sha256(span) AS span_hash
-        FROM ({_spans_sql(table, f'{key} AS row_id', text, category)})"""
+    f"""SELECT '{table}' AS source, row_id, turn, category, position, sha256(span) AS span_hash
+        FROM ({_spans_sql(table, f'{key} AS row_id, CAST({_TURN.get(table, "NULL")} AS BIGINT) AS turn', text, category)})"""
     for table, key, text in _ALL_TEXT for category in SPAN_SHAPES))
 def _(c):
     scans = None
     for table, key, text in _ALL_TEXT:
-        rows = c.table(table).select(F.expr(key).alias("row_id"), F.col(text).alias("text"))
-        spans = text_spans(rows, ["row_id"], "text").select(
-            F.lit(table).alias("source"), "row_id", "category", "position",
+        turn = F.col(_TURN[table]) if table in _TURN else F.lit(None)
+        rows = c.table(table).select(
+            F.col(key).alias("row_id"), turn.cast("long").alias("turn"), F.col(text).alias("text")
+        )
+        spans = text_spans(rows, ["row_id", "turn"], "text").select(
+            F.lit(table).alias("source"), "row_id", "turn", "category", "position",
             F.sha2("span", 256).alias("span_hash"),
         )
         scans = spans if scans is None else scans.unionByName(spans)

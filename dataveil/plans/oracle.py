@@ -66,9 +66,10 @@ CTES: dict[str, str] = {
                {_pick(['system', 'dpo@company.com', 'etl'], 'event_id % 3')} AS actor,
                ts AS "timestamp", props AS details_json FROM ev""",
     "column_samples": """
-        SELECT DISTINCT 'tbl-' || user_id AS table_id, 'c' || k AS column_name,
-               'string' AS column_dtype, 100 + k * 7 AS sample_count, 'sampled' AS status
-        FROM ev WHERE user_id % 10 <> 9 AND k % 2 = 0""",
+        SELECT 'tbl-' || user_id AS table_id, 'c' || k AS column_name,
+               'string' AS column_dtype, 100 + k * 7 AS sample_count, 'sampled' AS status,
+               min(ts) AS created_at
+        FROM ev WHERE user_id % 10 <> 9 AND k % 2 = 0 GROUP BY user_id, k""",
     "quarantine_manifest": f"""
         SELECT DISTINCT 'tbl-' || user_id AS table_id,
                's3://bucket-' || (user_id % 4) || '/tbl_' || user_id || '/' AS source_path,

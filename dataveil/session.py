@@ -30,13 +30,16 @@ def build_session(app: str = "dataveil", master: str | None = None, **conf: str)
 def shared_root(spark: SparkSession) -> str:
     """Folder that every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the cluster names none, as in tests on one machine, the context gets a new local one.
+    Only on one machine, as in tests, an unnamed folder is a new local one; on a cluster executors
+    would write to disks of their own, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="dataveil-"))
     return context.getCheckpointDir()
 

@@ -121,13 +121,13 @@ class ControlTables:
         return (
             self.events()
             .where((F.col("disposition") != "unscanned") & (F.col("k") % 2 == 0))
-            .groupBy("user_id", "k").agg(F.count(F.lit(1)).alias("_n"))
+            .groupBy("user_id", "k").agg(F.min("ts").alias("created_at"))
             .select(
                 _text("tbl-", F.col("user_id")).alias("table_id"),
                 _text("c", F.col("k")).alias("column_name"),
                 F.lit("string").alias("column_dtype"),
                 (F.lit(100) + F.col("k") * 7).alias("sample_count"),
-                F.lit("sampled").alias("status"),
+                F.lit("sampled").alias("status"), "created_at",
             )
         )
 

@@ -24,15 +24,28 @@ def inventory(files: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def move_target(path: Column, source_prefix: str, root: str, table_id: Column) -> Column:
-    """``<prefix>/x`` becomes ``<root>/<table_id>/x``."""
-    tail = F.ltrim(F.substring_index(path, source_prefix.rstrip("/"), -1), F.lit("/"))
-    return F.concat(F.lit(root.rstrip("/") + "/"), table_id, F.lit("/"), tail)
+def one_spelling(uri: Column) -> Column:
+    """A URI as other readers may spell it too: one scheme for S3, plain paths for local files."""
+    return F.regexp_replace(F.regexp_replace(uri, "^s3[an]://", "s3://"), "^file:/+", "/")
+
+
+def move_target(path: Column, source_prefix: Column, root: str, table_id: Column) -> Column:
+    """``<prefix>/x`` becomes ``<root>/<table_id>/x``; a path that is not below the prefix is an error."""
+    below = F.concat(F.regexp_replace(one_spelling(source_prefix), "/+$", ""), F.lit("/"))
+    own = one_spelling(path)
+    target = F.concat(F.lit(root.rstrip("/") + "/"), table_id, F.lit("/"), F.substr(own, F.length(below) + 1))
+    outside = F.raise_error(F.concat(F.lit("Not below the source prefix: "), path)).cast("string")
+    return F.when(F.startswith(own, below), target).otherwise(outside)
 
 
 def plan_moves(files: DataFrame, source_prefix: str, root: str, table_id: str) -> DataFrame:
-    target = move_target(F.col("path"), source_prefix, root, F.lit(table_id))
-    return files.select("path", "bytes", target.alias("target"))
+    """Source, size and target of every file; two files never share a target."""
+    target = move_target(F.col("path"), F.lit(source_prefix), root, F.lit(table_id))
+    moves = files.select("path", "bytes", target.alias("target"))
+    shared = moves.groupBy("target").count().where("count > 1").first()
+    if shared is not None:
+        raise ValueError(f"{shared['count']} files would move to {shared['target']}")
+    return moves
 
 
 def _filesystem(uri: str):
@@ -44,11 +57,29 @@ def _filesystem(uri: str):
         return fs.LocalFileSystem(), uri
     if scheme == "file":
         return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
     return fs.FileSystem.from_uri(uri)
 
 
-def copy_file(source: str, target: str, size: int) -> int:
-    """Copy one file in blocks, to a temporary name first; returns the bytes now at the target."""
+def checksum(uri: str) -> str:
+    """SHA-256 of a file, read in blocks."""
+    import hashlib
+
+    filesystem, path = _filesystem(uri)
+    digest = hashlib.sha256()
+    with filesystem.open_input_stream(path) as reader:
+        while block := reader.read(8 << 20):
+            digest.update(block)
+    return digest.hexdigest()
+
+
+def copy_file(source: str, target: str, size: int) -> int | None:
+    """Copy one file in blocks, to a temporary name first.
+
+    Returns the bytes at the target once its checksum is the source's, else nothing. A target of
+    the same content is left as it is; one of other content is an error and stays.
+    """
     import uuid
 
     from pyarrow import fs
@@ -56,15 +87,17 @@ def copy_file(source: str, target: str, size: int) -> int:
     from_fs, from_path = _filesystem(source)
     to_fs, to_path = _filesystem(target)
     done = to_fs.get_file_info(to_path)
-    if done.type == fs.FileType.File and done.size == size:
-        return done.size
+    if done.type == fs.FileType.File:
+        if done.size == size and checksum(target) == checksum(source):
+            return done.size
+        raise FileExistsError(f"{target} holds other content than {source}")
     to_fs.create_dir(to_path.rsplit("/", 1)[0], recursive=True)
     part = f"{to_path}.part-{uuid.uuid4().hex}"
     with from_fs.open_input_stream(from_path) as reader, to_fs.open_output_stream(part) as writer:
         while block := reader.read(8 << 20):
             writer.write(block)
     to_fs.move(part, to_path)
-    return to_fs.get_file_info(to_path).size
+    return to_fs.get_file_info(to_path).size if checksum(target) == checksum(source) else None
 
 
 def copy_files(moves: DataFrame) -> DataFrame:
@@ -86,7 +119,7 @@ def copy_files(moves: DataFrame) -> DataFrame:
 
 
 def delete_files(moves: DataFrame) -> int:
-    """Delete the originals of finished copies; call it after the manifest is stored."""
+    """Delete the originals of copies whose checksum was compared; call it after the manifest is stored."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 

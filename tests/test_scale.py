@@ -213,6 +213,14 @@ def test_leaks_are_found(spark):
     assert named == {"a": 1, "b": 0}
 
 
+def test_written_forms_of_leaks_are_found(spark):
+    raw = ["123-45-6789", "4111-1111-1111-1111", "+52 55 1234 5678", "alice@example.com", "GB82 WEST 1234 5698 7654 32", "x 4111111111111111."]
+    harmless = ["****-****-****-1111", "+52-**********", "a" * 20 + "1" * 16 + "b" * 28, "2024-01-31 10:20:30", "tbl-123", "[REDACTED]"]
+    for values, leaks in ((raw, len(raw)), (harmless, 0)):
+        df = spark.createDataFrame([(v,) for v in values], "v string")
+        assert checks.leak_counts(df, "out").first()["leaks"] == leaks
+
+
 def test_leaked_values(spark):
     raw = spark.createDataFrame([("secret",)], "v string")
     out = spark.createDataFrame([("x",), ("secret",), ("secret",)], "c string")

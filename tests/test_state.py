@@ -206,6 +206,61 @@ def test_quarantine_resumes_after_a_partial_copy(spark, tmp_path):
     assert not [f for _, _, names in os.walk(root) for f in names if ".part-" in f]
 
 
+def test_targets_keep_the_whole_path_below_the_prefix(spark):
+    paths = ["/lake/data/x/lake/data/y.parquet", "/lake/data/z/lake/data/y.parquet"]
+    listed = spark.createDataFrame([(p, 1) for p in paths], "path string, bytes long")
+    targets = {r["target"] for r in files.plan_moves(listed, "file:///lake/data/", "/q", "t1").collect()}
+    assert targets == {"/q/t1/x/lake/data/y.parquet", "/q/t1/z/lake/data/y.parquet"}
+    s3 = spark.createDataFrame([("s3a://b/data/x", 1)], "path string, bytes long")
+    assert files.plan_moves(s3, "s3://b/data", "s3://q", "t").first()["target"] == "s3://q/t/x"
+    with pytest.raises(Exception, match="Not below the source prefix"):
+        files.plan_moves(listed, "/lake/dat", "/q", "t1").collect()
+    with pytest.raises(ValueError, match="files would move"):
+        files.plan_moves(listed.unionAll(listed), "/lake/data", "/q", "t1")
+
+
+def test_originals_stay_unless_the_copy_is_the_same(spark, tmp_path):
+    source, root = f"{tmp_path}/raw", f"{tmp_path}/pending"
+    make_files(source)
+    os.makedirs(f"{root}/t1")
+    with open(f"{root}/t1/a.bin", "wb") as f:
+        f.write(b"x" * os.path.getsize(f"{source}/a.bin"))
+    with pytest.raises(Exception, match="holds other content"):
+        files.copy_files(files.plan_moves(files.list_files(spark, source), source, root, "t1")).collect()
+    assert os.path.exists(f"{source}/a.bin")
+
+
+def test_quarantine_marks_the_findings(spark, tmp_path):
+    source, root = f"{tmp_path}/raw", f"{tmp_path}/pending"
+    make_files(source)
+    manifest, log = manifest_table(spark, tmp_path / "m"), log_table(spark, tmp_path / "log")
+    findings = spark.createDataFrame([("f1", "t1", "flagged"), ("f2", "t1", "quarantined"), ("f3", "t2", "flagged")], "id string, table_id string, status string")
+    shape = state.transition_rows(findings, "id", F.col("status"), "quarantined", "r", now())
+    moved = writers.AppendOnlyTable(spark, str(tmp_path / "tr"), shape.schema, ["id"])
+    for _ in range(2):
+        remediate.quarantine(spark, "t1", source, root, ["EMAIL"], manifest, log, now(), findings, moved)
+    assert [r["entity_id"] for r in moved.read().collect()] == ["f1"]
+
+
+def test_sweep_moves_and_warns_once(spark, tmp_path):
+    held = f"{tmp_path}/pending/t31"
+    make_files(held)
+    rows = [("t31", held, 31), ("t25", f"{tmp_path}/pending/t25", 25), ("t3", f"{tmp_path}/pending/t3", 3)]
+    manifest = spark.createDataFrame(
+        [(t, p, dt.datetime(2024, 2, 1) - dt.timedelta(days=d), None, None, False, None) for t, p, d in rows],
+        "table_id string, quarantine_path string, quarantined_at timestamp_ntz, expired_at timestamp_ntz, "
+        "warning_sent_at timestamp_ntz, legal_hold boolean, owner_email string")
+    due = governance.expiry_transitions(manifest, "2024-02-01 00:00:00", root=str(tmp_path))
+    assert {(r["table_id"], r["action"]) for r in due.collect()} == {("t31", "expire"), ("t25", "warn")}
+    changes = writers.AppendOnlyTable(spark, str(tmp_path / "changes"), due.schema, ["table_id", "action"])
+    log = log_table(spark, tmp_path / "log")
+    local = manifest.withColumn("quarantine_path", F.concat(F.lit("s3://pii-quarantine/"), F.col("quarantine_path")))
+    assert remediate.sweep(spark, local.where("table_id <> 't31'"), changes, log, "2024-02-01 00:00:00", now()) == 1
+    assert remediate.sweep(spark, local.where("table_id <> 't31'"), changes, log, "2024-02-01 00:00:00", now()) == 0
+    moves = files.plan_moves(files.list_files(spark, held), held, f"{tmp_path}/expired", "t31")
+    assert files.delete_files(files.copy_files(moves)) == 2 and os.path.exists(f"{tmp_path}/expired/t31/a.bin")
+
+
 def test_file_inventory(spark, tmp_path):
     make_files(f"{tmp_path}/x")
     row = files.inventory(files.list_files(spark, f"{tmp_path}/x")).first()
