@@ -13,6 +13,7 @@ from dataveil.functions.columns import sha_key
 from dataveil.functions.detect import is_flagged, with_scores, with_top_label
 from dataveil.functions.vocab import FLAG_THRESHOLD, LABELS, VALUES_PER_COLUMN
 from dataveil.operators.sampling import first_values
+from dataveil.operators.state import transition_rows
 
 
 def model_text(column_name: Column, value: Column) -> Column:
@@ -90,6 +91,33 @@ def classify_columns(
     )
 
 
+def classify_every_value(cells: DataFrame, *, threshold: float = FLAG_THRESHOLD) -> DataFrame:
+    """Category and confidence per column from all its values, and how many of them are personal.
+
+    A column with little personal data among much else is found, as no value is left out. Everything
+    is folded in each task before the shuffle. A column without values is not reported.
+    """
+    keys = ("table_id", "column_name")
+    scored = with_top_label(with_scores(cells.where(F.col("value").isNotNull())))
+    best = F.max(F.struct((F.col("label") != "NONE").alias("s"), "score", "label"))
+    folded = scored.groupBy(*keys).agg(
+        best.alias("b"), F.count(F.lit(1)).alias("value_count"),
+        F.count_if(is_flagged(F.col("label"), F.col("score"), threshold)).alias("flagged_values"),
+    )
+    return folded.select(
+        *keys, F.col("b.label").alias("pii_category"), F.round("b.score", 4).alias("confidence"),
+        "value_count", "flagged_values", (F.col("flagged_values") > 0).alias("flagged"),
+    )
+
+
+def scan_transitions(findings: DataFrame, run_key: str, at: Column) -> DataFrame:
+    """Status each scan event gets when its columns are classified: flagged if one is, else classified."""
+    outcome = findings.groupBy("scanner_event_id").agg(F.max("flagged").alias("any"))
+    return transition_rows(outcome.where("any"), "scanner_event_id", F.lit("sampled"), "flagged", run_key, at).unionByName(
+        transition_rows(outcome.where("not any"), "scanner_event_id", F.lit("sampled"), "classified", run_key, at)
+    )
+
+
 def finding_rows(classified: DataFrame, scanner_event_id: Column, at: Column) -> DataFrame:
     """Classified columns as rows of the findings table; a column id is ``event:column``."""
     rows = classified.withColumn("scanner_event_id", scanner_event_id)

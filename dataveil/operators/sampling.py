@@ -76,10 +76,10 @@ def long_values(df: DataFrame, table_id: str, order: Column) -> DataFrame:
 
 
 def sample_values(
-    df: DataFrame, table_id: str, key: list[str], *, n: int = SAMPLE_ROWS, seed: int = 42
+    df: DataFrame, table_id: str, key: list[str], *, n: int | None = SAMPLE_ROWS, seed: int = 42
 ) -> DataFrame:
-    """Cells of a reproducible sample of *df*; holds raw values, for classification only."""
-    sample = sample_rows(df, n, key=key, seed=seed)
+    """Cells of a reproducible sample of *df*, or of all of it; raw values, for classification only."""
+    sample = df if n is None else sample_rows(df, n, key=key, seed=seed)
     return long_values(sample, table_id, hash_order(key, seed))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dataveil.functions import detect
 from dataveil.functions.synthetic import LOCALES, labelled_rows, labelled_sql
-from dataveil.functions.vocab import COLUMN_NAMES, FLAG_THRESHOLD, LABELS
+from dataveil.functions.vocab import COLUMN_NAMES, FLAG_THRESHOLD, LABELS, SAMPLE_ROWS
 from dataveil.operators import classify, evaluate, sampling, training
 from dataveil.operators.order_stats import train_val_test
 from dataveil.plans.oracle import sql_list
@@ -78,15 +78,15 @@ def _(c):
 
 # ---- scoring --------------------------------------------------------------------------------
 
-def _cells(c):
-    """Cells of the sampled tables and of the labelled rows; raw values, used for scoring only."""
+def _cells(c, n=SAMPLE_ROWS):
+    """Cells of the tables' samples, or of all rows, and of the labelled rows; raw values, used for scoring only."""
     labelled = labelled_rows(c.table("customer"), "c_custkey").select(
         F.lit("people").alias("table_id"), "column_name",
         F.sha2(F.concat("label", F.lit("~"), F.col("key").cast("string")), 256).alias("ord"),
         "value",
     )
     for table, key in _SAMPLED.items():
-        labelled = labelled.unionByName(sampling.sample_values(c.table(table), table, key))
+        labelled = labelled.unionByName(sampling.sample_values(c.table(table), table, key, n=n))
     return labelled
 
 
@@ -194,6 +194,48 @@ def _(c):
     ).drop("created_at")
 
 
+def _all_cells_sql() -> str:
+    parts = [f"SELECT 'people' AS table_id, column_name, value FROM ({SYNTHETIC_SQL})"]
+    for table in _SAMPLED:
+        cells = ", ".join(f"{{'n': '{n}', 'v': CAST({n} AS VARCHAR)}}" for n in _COLUMNS[table])
+        parts.append(f"SELECT '{table}', x.n, x.v FROM (SELECT unnest([{cells}]) AS x FROM {table})")
+    return " UNION ALL ".join(parts)
+
+
+@query("column_labels_full", f"""
+    WITH scored AS ({scored_sql(f"SELECT * FROM ({_all_cells_sql()}) WHERE value IS NOT NULL")}),
+    counts AS (
+        SELECT table_id, column_name, top_label, max(top_score) AS score, count(*) AS n,
+               count(*) FILTER (WHERE top_label <> 'NONE' AND top_score >= CAST({FLAG_THRESHOLD} AS DOUBLE)) AS hits
+        FROM scored GROUP BY 1, 2, 3)
+    SELECT table_id, column_name,
+           arg_max(top_label, (top_label <> 'NONE', score, top_label)) AS pii_category,
+           round(arg_max(score, (top_label <> 'NONE', score, top_label)), 4) AS confidence,
+           sum(n)::BIGINT AS value_count, sum(hits)::BIGINT AS flagged_values, sum(hits) > 0 AS flagged
+    FROM counts GROUP BY 1, 2""")
+def _(c):
+    return classify.classify_every_value(_cells(c, None))
+
+
+@query("scan_transitions", """
+    SELECT scanner_event_id AS entity_id, 'sampled' AS from_status,
+           if(sum(flagged::INT) > 0, 'flagged', 'classified') AS status
+    FROM pii_findings GROUP BY 1""")
+def _(c):
+    rows = classify.scan_transitions(c.pii_findings(), "scan-1", F.current_timestamp())
+    return rows.select("entity_id", "from_status", "status")
+
+
+@query("column_sample_rows", " UNION ALL ".join(
+    f"SELECT sha256('se-1~{name}') AS id, 'se-1' AS scanner_event_id, 'orders' AS table_id, '{name}' AS column_name, "
+    f"'{dtype}' AS column_dtype, count({name}) AS sample_count, '/samples/orders' AS sample_path, 'sampled' AS status "
+    "FROM orders" for name, dtype in zip(_COLUMNS["orders"], _TYPES["orders"])))
+def _(c):
+    profile = sampling.table_profile(c.table("orders"))
+    rows = sampling.column_sample_rows(profile, "se-1", "orders", "/samples/orders", F.current_timestamp())
+    return rows.drop("created_at")
+
+
 @query("any_sensitive_labels", f"""
     SELECT table_id, column_name,
            arg_max(top_label, (top_label <> 'NONE', top_score, top_label)) AS pii_category,
@@ -313,8 +355,7 @@ def _(c):
     return train_val_test(c.table("documents").select("doc_id"), F.col("doc_id"))
 
 
-@query("train_classifier")
-def _(c):
+def _trained_report(c):
     customers = c.table("customer").select("c_custkey")
     split = train_val_test(customers, F.col("c_custkey"))
 
@@ -327,3 +368,16 @@ def _(c):
         training.predict(trained, rows("test").withColumnRenamed("label", "truth"))
     )
     return evaluate.class_report(scored.withColumnRenamed("label", "predicted"))
+
+
+@query("train_classifier")
+def _(c):
+    return _trained_report(c)
+
+
+@query("train_classifier_target", f"""
+    SELECT label, (SELECT count(*) - floor(0.7::DOUBLE * count(*)) - floor(0.15::DOUBLE * count(*)) FROM customer)::BIGINT
+             AS support, true AS found_well
+    FROM (SELECT unnest({sql_list(LABELS)}) AS label)""")
+def _(c):
+    return _trained_report(c).select("label", F.col("support").cast("long").alias("support"), (F.col("f1") >= 0.9).alias("found_well"))

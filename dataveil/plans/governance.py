@@ -288,6 +288,17 @@ def _(c):
     return dsar.probe_masked(_page_identifiers(c), masked, ["doc_id"], "email")
 
 
+@query("dsar_probe_phone", f"""
+    SELECT d.doc_id, sha256(lower(d.span)) AS identifier_hash, count(*) AS hits
+    FROM ({_spans_sql('documents', 'doc_id', 'text', 'PHONE')}) d
+    WHERE lower(d.span) IN (SELECT lower(span) FROM ({_spans_sql('pages', 'page_id', 'html', 'PHONE')}))
+    GROUP BY 1, 2""")
+def _(c):
+    spans = text_spans(c.table("pages"), ["page_id"], "html", ["PHONE"])
+    wanted = spans.select(dsar.normalized_hash(F.col("span")).alias("identifier_hash"))
+    return dsar.probe_text(wanted, c.table("documents"), ["doc_id"], "text", "PHONE")
+
+
 # ---- leak check -------------------------------------------------------------------------------
 
 _LEAK_OUTPUTS = {
