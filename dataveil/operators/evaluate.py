@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dataveil.functions.columns import literal_rows
 from dataveil.functions.vocab import F1_GATE, FIXTURE_GATE, FLAG_THRESHOLD, LABELS
+from dataveil.session import cut_lineage
 
 
 def confusion_matrix(pred: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
@@ -79,7 +80,8 @@ def threshold_report(
 ) -> DataFrame:
     """The class report on the confident rows, with the share of rows they are."""
     sure = F.col(confidence) >= F.lit(threshold)
-    cells = pred.groupBy("truth", "predicted", sure.alias("sure")).agg(F.count(F.lit(1)).alias("n"))
+    # At most twice the squared number of labels; stored, as the report reads it three times.
+    cells = cut_lineage(pred.groupBy("truth", "predicted", sure.alias("sure")).agg(F.count(F.lit(1)).alias("n")))
     confident = F.coalesce(F.sum(F.when(F.col("sure"), F.col("n"))), F.lit(0))
     report = _report(cells.where("sure"), labels or LABELS)
     return report.withColumns({

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataveil.functions.columns import clock, half_up, merged_set, score
@@ -153,10 +153,9 @@ def footprint_order() -> list[Column]:
 
 
 def source_heat(footprint: DataFrame) -> DataFrame:
-    """Heat of each source relative to the most flagged one."""
-    top = footprint.select(F.max("flagged_count")).scalar()
+    """Heat of each source relative to the most flagged one; the window is over one row per source."""
     flagged = F.col("flagged_count")
-    banded = footprint.withColumn("_top", top)
+    banded = footprint.withColumn("_top", F.max("flagged_count").over(Window.partitionBy()))
     return banded.select(
         "source_name", "data_source_type", "bucket", "table_count", "flagged_count",
         F.coalesce(half_up(flagged, F.col("_top"), 4), F.lit(0.0)).alias("heat"),
