@@ -4,13 +4,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import SF
+from dataveil.plans import QUERIES
 
-QUERIES = entry.queries()
 # These run jobs while they are built.
-JOBS = {q for q in QUERIES if q.startswith("stream")} | {"train_classifier"}
-# One mapInPandas walk in time order, which no expression can state.
+JOBS = {q for q in QUERIES if q.startswith("stream")} | {"train_classifier", "train_classifier_target"}
+# One mapInArrow walk in time order, which no expression can state.
 PYTHON = {"rate_limited"}
 
 
