@@ -50,6 +50,12 @@ def test_awkward_and_empty_tables(spark, docs, name):
     assert sorted(map(repr, run(docs.repartition(5)).collect())) == sorted(map(repr, run(docs.coalesce(1)).collect()))
 
 
+@pytest.mark.parametrize("name", ["op1_boosted_pii", "op7_weighted_mixing", "op9_winnowing_decontamination"])
+def test_native_operators_run_no_python(spark, name, tmp_path):
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "InPandas", "InArrow", "CartesianProduct", "BroadcastNestedLoopJoin"))
+
+
 def test_word_and_shingle_hashes():
     import pyarrow as pa
 
