@@ -45,15 +45,18 @@ def permute(numbers: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
     return place.astype(np.int64)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def numbered(docs: DataFrame, key: Column) -> DataFrame:
     """*docs* with ``_number``, 0 .. n-1, the same whatever the partitioning.
 
-    Rows alike in id and text are interchangeable and numbered in any order.
+    Rows alike in id and *key* are interchangeable and numbered in any order.
     """
     n = docs.count()
     buckets = max(1, -(-n // BUCKET_ROWS))
-    tie = F.md5(F.coalesce("text", F.lit("")))
-    keyed = docs.withColumn("_tie", tie).withColumn("_h", F.xxhash64("doc_id", "_tie", F.lit(SEED))).withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
+    keyed = docs.withColumn("_tie", key).withColumn("_h", F.xxhash64("doc_id", "_tie", F.lit(SEED))).withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
     counts = stored(keyed.groupBy("_bucket").agg(F.count("*").alias("_n")), "shard-buckets")
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stored(counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "shard-offsets")
@@ -62,11 +65,12 @@ def numbered(docs: DataFrame) -> DataFrame:
     return within.join(offsets, "_bucket").withColumn("_number", (F.col("_before") + F.col("_at")).cast("long")).drop("_tie", "_h", "_bucket", "_at", "_before")
 
 
-def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, key: Column | None = None) -> DataFrame:
     """*docs* with ``shard`` (0 .. shards-1) and ``slot`` (gapless from 0), which replace columns of these names.
 
     Shards differ by one row at most. Null ids and texts are numbered like others; equal texts may
-    fall into different shards; an empty table stays empty.
+    fall into different shards; an empty table stays empty. *key* tells rows of one id apart, the text
+    unless given; with a key the text need not be among the columns.
     """
     rows = docs.drop("shard", "slot")
     n = rows.count()
@@ -75,7 +79,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Da
         for column in columns:
             yield pa.array(permute(column.to_numpy(zero_copy_only=False), n, seed))
 
-    placed = numbered(rows).withColumn("_place", F.arrow_udf(place, "long")("_number"))
+    placed = numbered(rows, text_key(F.col("text")) if key is None else key).withColumn("_place", F.arrow_udf(place, "long")("_number"))
     return placed.withColumns({
         "shard": F.pmod("_place", F.lit(shards)).cast("int"), "slot": F.floor(F.col("_place") / shards).cast("long"),
     }).drop("_number", "_place")
@@ -87,8 +91,8 @@ def size_in_bytes(text: Column) -> Column:
 
 def shard_digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard): one row per row of *docs*; a null text counts as empty."""
-    placed = assign_shards(docs.select("doc_id", "text"), shards)
-    return placed.select(
-        "doc_id", size_in_bytes(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    text = F.col("text")
+    narrow = docs.select("doc_id", size_in_bytes(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), text_key(text).alias("text_key"))
+    return assign_shards(narrow, shards, key=F.col("text_key")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
