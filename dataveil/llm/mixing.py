@@ -6,7 +6,7 @@ the source. The rest is a weighted sample without replacement: each document get
 a hashed uniform's logarithm over its quality weight, and the documents of least keys whose words fill
 the rest are taken once more.
 
-No source is ever sorted as a whole. Keys are cut into ranges of about ``RANGE_ROWS`` documents whose
+No source is ever sorted as a whole. Keys are cut into ranges of about ``RANGE_ROWS`` documents, whose
 sums are added up; only the range in which the rest runs out is sorted.
 """
 
@@ -20,7 +20,8 @@ from dataveil.llm.store import stored
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-RANGE_ROWS = 20_000
+RANGE_ROWS = 5_000
+BROADCAST_ROWS = 500_000
 SEED = "mix-1"
 # Quality weights: from 1 for the worst label to 4 for the best, 2 without one. At least 1, so that
 # the key ranges stay even.
@@ -41,7 +42,9 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     """(label_id, weight): the mean of a document's quality labels as a weight."""
     mean = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.avg("quality").alias("q"))
     bounded = F.least(F.greatest(F.col("q"), F.lit(0.0)), F.lit(1.0))
-    return mean.select("label_id", (F.lit(LOW) + (HIGH - LOW) * bounded).alias("weight"))
+    weights = stored(mean.select("label_id", (F.lit(LOW) + (HIGH - LOW) * bounded).alias("weight")), "mix-weights")
+    # Beside few weights the documents stay where they are; beside more both sides are shuffled.
+    return F.broadcast(weights) if weights.count() <= BROADCAST_ROWS else weights
 
 
 def _keyed(docs: DataFrame, weights: DataFrame) -> DataFrame:
@@ -79,9 +82,9 @@ def _range(e: str) -> Column:
     return F.least(F.floor((1 - F.exp(-F.col(e))) * F.col("ranges")), F.col("ranges") - 1)
 
 
-def plan(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(keyed rows without their texts, the cut of each source). The cuts have one row per source."""
-    narrow = stored(_keyed(docs.select("doc_id", "text", "source"), quality_weights(labels)).select("doc_id", "_s", "_size", "_e", "_tie"), "mix-keys")
+    narrow = stored(_keyed(docs.select("doc_id", "text", "source"), weights).select("doc_id", "_s", "_size", "_e", "_tie"), "mix-keys")
     sizes = stored(narrow.groupBy("_s").agg(F.sum("_size").alias("source_size"), F.count("*").alias("rows")), "mix-sizes")
     epochs = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
     goals = stored(
@@ -98,8 +101,9 @@ def plan(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy("_s").agg(F.max(F.struct("range", "before")).alias("m")).select("_s", F.col("m.range").alias("range"), F.col("m.before").alias("before"))
     )
     last = stored(last, "mix-ranges")
-    running = F.sum("_size").over(Window.partitionBy("_s").orderBy("_e", "_tie").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    peers = F.sum("_size").over(Window.partitionBy("_s", "_e", "_tie"))
+    one_range = Window.partitionBy("_s", "range").orderBy("_e", "_tie")
+    running = F.sum("_size").over(one_range.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    peers = F.sum("_size").over(one_range.rangeBetween(Window.currentRow, Window.currentRow))
     inside = placed.join(last, ["_s", "range"]).withColumn("end", F.col("before") + running).withColumn("peers", peers)
     cuts = inside.where(2 * F.col("end") - F.col("peers") <= 2 * F.col("rest")).groupBy("_s").agg(F.max(F.struct("_e", "_tie")).alias("cut"))
     return narrow, stored(goals.join(last.select("_s", F.col("range").alias("last")), "_s", "left").join(cuts, "_s", "left"), "mix-cuts")
@@ -120,7 +124,7 @@ def mix_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     in id and text share a key and are taken or left together. A missing label weighs UNKNOWN.
     Reruns agree, whatever the partitioning. An empty table gives an empty result.
     """
-    narrow, cuts = plan(docs, labels)
+    narrow, cuts = plan(docs, quality_weights(labels))
     return narrow.join(cuts, "_s").select(
         "doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * _copies()).cast("long").alias("taken")
     )
@@ -128,9 +132,10 @@ def mix_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The mixed corpus: rows of *docs* repeated as often as they are taken, with the same columns."""
-    _, cuts = plan(docs, labels)
+    weights = quality_weights(labels)
+    _, cuts = plan(docs, weights)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     own = docs.select(F.struct(*columns).alias("_row"), "doc_id", "text", "source")
-    taken = _keyed(own, quality_weights(labels)).join(cuts, "_s").withColumn("_copies", _copies())
+    taken = _keyed(own, weights).join(cuts, "_s").withColumn("_copies", _copies())
     repeated = taken.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"))
     return repeated.select("_row.*")
