@@ -328,7 +328,9 @@ def test_lm_scores(spark, docs, rows):
 
 
 def test_lm_states_are_distributions():
-    words_, pairs = np.array([5, 3, 2, 0]), (np.array([0, 0, 4, 1]), np.array([1, 2, 0, 3]), np.array([3, 2, 4, 0]))
+    # Every history's count is the sum of its followers' counts; word 3 is unknown.
+    words_ = np.array([5, 3, 2, 0])
+    pairs = np.array([0, 0, 4, 1, 2, 1]), np.array([1, 2, 0, 2, 0, 3]), np.array([3, 2, 4, 3, 2, 0])
     machine = lm_score.Automaton(words_, 4, pairs, 10, 3)
     unknown = lm_score.ADDED / (10 + lm_score.ADDED * 4)
     known = 10 ** machine.root[:3]
