@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataveil.llm import words as W
+from dataveil.llm.blocks import Forest, gridded
 from dataveil.llm.graph import components
 from dataveil.llm.store import stored
 
@@ -143,47 +144,6 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("node", "set_id", "text").mapInArrow(gather, "node long, shingles array<long>")
 
 
-class _Forest:
-    """Union-find over a block's component ids."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = self.up.get(y, y)
-            x = y
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
-def _gridded(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """Rows of each group dealt to block pairs (hb, ob), ``home`` marking the side they stand on.
-
-    *rows* has the group's key, ``node`` and ``home``: whether the row is compared with all others.
-    Every home row meets every row of its group in exactly one block pair of bounded size.
-    """
-    counts = rows.groupBy(key).agg(F.sum(F.col("home").cast("long")).alias("_h"), F.count("*").alias("_n"))
-    dealt = rows.join(counts.where("_h > 0"), key).withColumns({
-        "_hb": F.ceil(F.col("_h") / block).cast("long"), "_nb": F.ceil(F.col("_n") / block).cast("long"),
-    })
-    kept = [c for c in rows.columns if c != "home"]
-
-    def side(home: bool, own: str, across: str, seed: int) -> DataFrame:
-        mine = F.pmod(F.xxhash64("node", F.lit(seed)), F.col(own))
-        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(across) - 1))
-        names = ("hb", "ob") if home else ("ob", "hb")
-        chosen = dealt.where("home") if home else dealt
-        return chosen.select(*kept, F.lit(home).alias("home"), mine.alias(names[0]), each.alias(names[1]))
-
-    return side(True, "_hb", "_nb", 1).unionByName(side(False, "_nb", "_hb", 2))
-
-
 def _by_block(rows: DataFrame, key: str, per_task: int, search: Callable) -> DataFrame:
     """Edges (a, b) that *search* finds in each block pair; small block pairs share a task."""
     tasks = max(1, -(-rows.count() // per_task))
@@ -217,7 +177,7 @@ def _likely(threshold: float, coordinates: int) -> Callable:
             for j in np.flatnonzero(alike >= floor):
                 pair = min(comp[i], comp[fits[j]]), max(comp[i], comp[fits[j]])
                 found[pair] = max(found.get(pair, 0.0), alike[j])
-        forest = _Forest()
+        forest = Forest()
         return [p for p in sorted(found, key=lambda p: (-found[p], p)) if forest.join(*p)]
 
     return search
@@ -232,7 +192,7 @@ def _exact(percent: int) -> Callable:
         flat = np.concatenate([*sets[home], np.zeros(0, np.int64)])
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
-        comp, forest, kept = block["comp"][home], _Forest(), []
+        comp, forest, kept = block["comp"][home], Forest(), []
         for theirs, shingles in zip(block["comp"][~home], sets[~home]):
             lo, hi = np.searchsorted(flat, shingles, "left"), np.searchsorted(flat, shingles, "right")
             hits = hi - lo
@@ -297,7 +257,7 @@ def near_duplicates(
     ends = inside.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     hubs = ends.join(shared, "key").join(owned, F.col("hub") == F.col("node")).select("key", F.col("comp").alias("main"))
     searched = inside.join(hubs, "key").select("key", "node", "comp", (F.col("comp") != F.col("main")).alias("home"))
-    laid = stored(_gridded(searched, "key", block), "laid")
+    laid = stored(gridded(searched, "key", block), "laid")
     likely = _by_block(laid.join(info.drop("bands"), "node"), "key", 20_000, _likely(percent / 100, bands * rows))
 
     clusters = components(likely).select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
@@ -307,7 +267,7 @@ def near_duplicates(
         .groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("m")).select("cluster", F.col("m.comp").alias("main"))
     )
     compared = grouped.join(largest, "cluster").select("cluster", "node", "comp", (F.col("comp") != F.col("main")).alias("home"))
-    laid = stored(_gridded(compared, "cluster", block), "compared")
+    laid = stored(gridded(compared, "cluster", block), "compared")
     more = _by_block(laid.join(sets, "node"), "cluster", 2 * block, _exact(percent))
     joined = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 

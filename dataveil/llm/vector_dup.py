@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dataveil.llm.blocks import Forest, gridded
 from dataveil.llm.graph import components
-from dataveil.llm.near_dup import _Forest, _gridded
 from dataveil.llm.store import stored
 
 FIT_ROWS = 20_000
@@ -105,7 +105,7 @@ def _links(threshold: float) -> Callable:
         a, b = np.flatnonzero(home), np.flatnonzero(~home)
         linked = (units[a] @ units[b].T >= threshold) & (node[a][:, None] != node[b][None, :])
         counts = linked @ many[b]
-        forest = _Forest()
+        forest = Forest()
         edges = [(int(x), int(y)) for i, j in zip(*np.nonzero(linked)) if forest.join(x := int(node[a[i]]), y := int(node[b[j]]))]
         some = np.flatnonzero(counts)
         return pd.DataFrame({
@@ -143,7 +143,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, block: i
 
     placed = _cells(classes.select("node", "label", "n", "unit"), grids, threshold).withColumn("cell", F.concat_ws("|", "cell", "label"))
     found = stored(
-        _gridded(stored(placed, "vector-cells"), "cell", block).groupBy("cell", "hb", "ob").applyInPandas(_links(threshold), "a long, b long, links long"),
+        gridded(stored(placed, "vector-cells"), "cell", block).groupBy("cell", "hb", "ob").applyInPandas(_links(threshold), "a long, b long, links long"),
         "vector-links",
     )
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
