@@ -162,5 +162,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, part: int = PART) -> Da
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, part: int = PART) -> DataFrame:
     """*docs* without the rows whose text holds a window of the benchmark."""
     hits, _ = benchmark_hits(docs, benchmark, part)
+    # Stored, so that the planner knows its size and shuffles documents only if it is large.
+    found = stored(hits.select(F.col("key").alias("_text_key")).distinct(), "bench-keys")
     keyed = docs.withColumn("_text_key", text_key(F.col("text")))
-    return keyed.join(hits.select(F.col("key").alias("_text_key")).distinct(), "_text_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(found, "_text_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
