@@ -2,9 +2,10 @@
 
 A document's words become hashes, its 5-grams hashes of these, and of every window of ten words the
 least 5-gram hash is kept. Two equal windows keep equal hashes, so a join of kept hashes meets every
-shared span of ten words or more; a run of windows that keep the same hash is one fingerprint. A
-fingerprint that the benchmark has too is extended: the windows of its run are compared word by word
-with the benchmark's windows. Equal texts have equal results, which are worked out once per text.
+shared span of ten words or more; a run of windows that keep the same 5-gram, the rightmost of equal
+ones, is one fingerprint, of six windows at most. A fingerprint that the benchmark has too is extended:
+the windows of its run are compared word by word with the benchmark's windows. Equal texts have equal
+results, which are worked out once per text.
 
 Generators are the outer form: for the plain one the optimizer derives a size filter, which it would
 push below the expressions that make the array and so evaluate them again.
@@ -40,7 +41,7 @@ def _gram(hashes: str, first: Column, at: Column, size: int) -> Column:
 
 
 def _hashed(df: DataFrame) -> DataFrame:
-    """*df* with its words, word hashes h and the least 5-gram hash m of every window of ten words."""
+    """*df* with its words, word hashes h, 5-gram hashes g and the least of these, m, of every window of ten words."""
     last = WINDOW - GRAM
     return (
         df.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
@@ -49,7 +50,6 @@ def _hashed(df: DataFrame) -> DataFrame:
             F.slice("g", 1, F.greatest(F.size("words") - (WINDOW - 1), F.lit(0))),
             lambda x, i: F.least(x, *[F.get(F.col("g"), i + k) for k in range(1, last + 1)]),
         ))
-        .drop("g")
     )
 
 
@@ -77,18 +77,22 @@ def _bench_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _long_hits(texts: DataFrame, windows: DataFrame) -> DataFrame:
     """(key, j, size, wid): where windows of ten words stand in the texts."""
     prints = windows.select("fp").distinct()
+    span = WINDOW - GRAM
+    # The rightmost least 5-gram moves where the least hash changes, or where the window's last 5-gram equals it.
     fingerprints = (
-        texts.select("key", "words", "h", "m", F.posexplode_outer("m").alias("pos", "fp"))
-        .where((F.col("pos") == 0) | (F.col("fp") != F.get("m", F.col("pos") - 1)))
+        texts.select("key", "words", "h", "g", "m", F.posexplode_outer("m").alias("pos", "fp"))
+        .where((F.col("pos") == 0) | (F.col("fp") != F.get("m", F.col("pos") - 1)) | (F.col("fp") == F.get("g", F.col("pos") + span)))
     )
-    span = WINDOW - GRAM
     met = fingerprints.join(F.broadcast(prints), "fp").select(
         "key", "pos", "fp",
         F.slice("words", F.col("pos") + 1, WINDOW + span).alias("cw"),
         F.slice("h", F.col("pos") + 1, WINDOW + span).alias("ch"),
-        F.slice("m", F.col("pos") + 1, span + 1).alias("cm"),
+        F.slice("g", F.col("pos") + span + 1, span + 1).alias("cg"), F.slice("m", F.col("pos") + 1, span + 1).alias("cm"),
+    )
+    # Windows whose last 5-gram is the least start a fingerprint of their own.
+    near = met.select("key", "pos", "fp", "cw", "ch", "cg", F.posexplode_outer("cm").alias("o", "near_fp")).where(
+        (F.col("near_fp") == F.col("fp")) & ((F.col("o") == 0) | (F.get("cg", F.col("o")) != F.col("fp")))
     )
-    near = met.select("key", "pos", "fp", "cw", "ch", F.posexplode_outer("cm").alias("o", "near_fp")).where("near_fp = fp")
     hashed = near.withColumn("wh", F.xxhash64(*[F.get("ch", F.col("o") + k) for k in range(WINDOW)]))
     return (
         hashed.join(F.broadcast(windows.select("wid", "win", "wh")), "wh")

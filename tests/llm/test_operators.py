@@ -150,6 +150,24 @@ def test_every_shared_span_of_ten_words_is_found(spark):
     assert [got[i] for i, _ in texts] == plain.contamination(texts, items)
 
 
+def test_repeated_words_are_compared_with_the_benchmark(spark):
+    """Texts of short period keep one least 5-gram hash for many windows."""
+    rng = random.Random(10)
+    texts = ["same " * 100, "0 0 0 1 " * 20, "no " * 40 + "y z w v", "a b c d e f " * 12 + "g", "z " * 9]
+    benches = ["same " * 10, "0 0 0 1 " * 4, "no " * 6 + "y z w v", "c d e f a b c d e f g", "z " * 12]
+    for period in range(1, 8):
+        unit = [rng.choice("pqr") for _ in range(period)]
+        around = [rng.choice("pqrst") for _ in range(30)]
+        texts += [" ".join(around[:20] + unit * 15 + around[20:]), " ".join(unit * 9 + around)]
+        benches.append(" ".join((unit * 12)[:12]))
+        benches.append(" ".join((unit * 9)[-7:] + around[:5]))
+    texts, items = list(enumerate(texts)), list(enumerate(benches))
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(
+        spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = plain.contamination(texts, items)
+    assert [got[i] for i, _ in texts] == want and [n for _, n, _ in want[:3]] == [100, 80, 10]
+
+
 HARD_TEXTS = [
     "a@b.c@d.e", "a@b.c.@d.e x.y@z", "..@a.b 1.2.3.4.5.6.7.8 999.1.1.1 0001.2.3.4 1..2.3.4.5", "+1 (017) 555-7713 +123 456 +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7",
     "4111 1111-1111 1111 é4111111111111111 5  67 4111-1111-1111-1112", "\U0001f600 j@k.lm \U0001f600+49 30 1234567", "a" * 20000 + "@" + "b." * 2000,
