@@ -1,7 +1,8 @@
 """Secrets: three fixed patterns, and a battery of randomness tests on every other long token.
 
 A token of 16 or more encoding characters is read as values of the smallest encoding that has all its
-characters. Three tests ask whether the values look uniformly random: chi-squared over the alphabet,
+characters. A token that no encoding fits is cut at the characters that stand outside each, and every
+piece of 16 or more characters is tested; of chosen pieces that overlap, the most random stays. Three tests ask whether the values look uniformly random: chi-squared over the alphabet,
 the number of runs above and below the middle, and the correlation of neighbours. Their p-values are
 combined into one misfit (Fisher): small for random strings, large for words.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,9 @@ LEAST_ASSIGNED = 12
 KINDS = ("assign", "access", "hex")
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# What a token without an encoding is cut into: first at '=' before its end, then by alphabet.
+PART = re.compile(r"[^=]{16,}(?:=+\Z)?")
+PIECES = (re.compile(r"[A-Za-z0-9+/]{16,}(?:=+\Z)?"), re.compile(r"[A-Za-z0-9_-]{16,}(?:=+\Z)?"))
 WORD = re.compile(r"(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)=*")
 ENCODINGS = tuple(
     (name, np.array([chars.find(chr(c)) for c in range(128)]), len(chars))
@@ -63,6 +68,20 @@ def encoding(token: str) -> tuple[str, np.ndarray, int] | None:
     return None
 
 
+def pieces(token: str) -> list[list[tuple[int, int]]]:
+    """The spans of a token to be tested, in groups: spans of one group may overlap."""
+    if encoding(token):
+        return [[(0, len(token))]]
+    groups = []
+    for part in PART.finditer(token):
+        if encoding(part[0]):
+            groups.append([part.span()])
+        else:
+            at = part.start()
+            groups.append(sorted({(at + m.start(), at + m.end()) for p in PIECES for m in p.finditer(part[0])}))
+    return groups
+
+
 def _two_sided(z: float) -> float:
     return max(math.erfc(abs(z) / math.sqrt(2)), 1e-30)
 
@@ -96,33 +115,50 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def tokens(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
-    """The text's long tokens that meet no base span, with length class, misfit step and whether they are words."""
-    found, next_base = [], 0
-    ends = sorted((s, e) for _, s, e in base)
+def merged(base: list[tuple[str, int, int]]) -> list[list[int]]:
+    """The base spans' places as intervals that do not overlap, in order."""
+    out = []
+    for start, end in sorted((s, e) for _, s, e in base):
+        if out and start < out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
+def tokens(text: str, base: list[tuple[str, int, int]]) -> list[list[dict]]:
+    """The text's long tokens, or pieces of them, that meet no base span, with length class, misfit step
+    and whether they are words. They come in groups, only within which they may overlap."""
+    found, taken = [], merged(base)
+    ends = [end for _, end in taken]
     for m in TOKEN.finditer(text):
-        start, end = m.span()
-        while next_base < len(ends) and ends[next_base][1] <= start and (next_base + 1 == len(ends) or ends[next_base + 1][0] <= end):
-            next_base += 1
-        if any(s < end and e > start for s, e in ends[max(0, next_base - 2) : next_base + 3]):
-            continue
-        known = encoding(m[0])
-        if known is None or len(known[1]) < CLASSES[0] or known[0] == "decimal":
-            continue
-        size = max(c for c in CLASSES if c <= len(known[1]))
-        step = min(int(misfit(known[1], known[2]) / STEP), STEPS)
-        found.append({"start": start, "end": end, "size": size, "step": step, "word": bool(WORD.fullmatch(m[0]))})
+        for group in pieces(m[0]):
+            tested = []
+            for at, to in group:
+                start, end = m.start() + at, m.start() + to
+                after = bisect_right(ends, start)
+                if after < len(taken) and taken[after][0] < end:
+                    continue
+                token = text[start:end]
+                known = encoding(token)
+                if known is None or len(known[1]) < CLASSES[0] or known[0] == "decimal":
+                    continue
+                size = max(c for c in CLASSES if c <= len(known[1]))
+                step = min(int(misfit(known[1], known[2]) / STEP), STEPS)
+                tested.append({"start": start, "end": end, "size": size, "step": step, "word": bool(WORD.fullmatch(token))})
+            if tested:
+                found.append(tested)
     return found
 
 
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
-_TOKENS = "array<struct<start:int,end:int,size:int,step:int,word:boolean>>"
+_TOKENS = "array<array<struct<start:int,end:int,size:int,step:int,word:boolean>>>"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, base, tokens) of every row of *docs*."""
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    token = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("size", pa.int32()), ("step", pa.int32()), ("word", pa.bool_())]))
+    token = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("size", pa.int32()), ("step", pa.int32()), ("word", pa.bool_())])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,16 +195,29 @@ def thresholds(counts: list[tuple[int, int, bool, int]], rate: float = FALSE_RAT
     return chosen
 
 
+def _apart(group: Column) -> Column:
+    """Spans of a group, by start, of which none overlaps another: the least misfit goes first, then the longer span."""
+    ranked = F.array_sort(F.transform(group, lambda t: F.struct(t["step"].alias("step"), (t["start"] - t["end"]).alias("less"), t["start"].alias("start"), t["end"].alias("end"))))
+    none = F.array().cast("array<struct<step:int,less:int,start:int,end:int>>")
+
+    def take(kept: Column, t: Column) -> Column:
+        meets = F.exists(kept, lambda k: (k["start"] < t["end"]) & (k["end"] > t["start"]))
+        return F.when(meets, kept).otherwise(F.concat(kept, F.array(t)))
+
+    kept = F.aggregate(ranked, none, take)
+    return F.array_sort(F.transform(kept, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))))
+
+
 def secret_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, base, added) for every row of *docs* (doc_id, text): spans (kind, start, end).
 
-    *added* are tokens of kind ``random`` that the tests pick; they never meet a base span. Both are
+    *added* are tokens of kind ``random`` that the tests pick; they meet neither a base span nor each other. Both are
     ordered by start, then kind. Null and empty texts have none; repeated rows and ids come out as
     they are; other columns are not read. Where the corpus has no words to compare with, nothing is
     added.
     """
     found = stored(candidates(docs), "secret-candidates")
-    counted = found.select(F.explode("tokens").alias("t")).groupBy("t.size", "t.step", "t.word").agg(F.count("*").alias("n"))
+    counted = found.select(F.explode(F.flatten("tokens")).alias("t")).groupBy("t.size", "t.step", "t.word").agg(F.count("*").alias("n"))
     chosen = thresholds([tuple(r) for r in counted.collect()])  # classes x steps x 2 rows at most
 
     def random(t: Column) -> Column:
@@ -177,7 +226,8 @@ def secret_spans(docs: DataFrame) -> DataFrame:
             fits = fits | ((t["size"] == size) & (t["step"] <= step))
         return fits & ~t["word"]
 
-    added = F.transform(F.filter("tokens", random), lambda t: F.struct(F.lit("random").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
+    picked = F.flatten(F.transform(F.filter("tokens", lambda g: F.exists(g, random)), lambda g: _apart(F.filter(g, random))))
+    added = F.transform(picked, lambda t: F.struct(F.lit("random").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
     return found.select("doc_id", "base", added.alias("added"))
 
 

@@ -223,6 +223,31 @@ def test_random_tokens_are_added_and_words_are_not(spark):
     assert sum(bool(got[1000 + i]) for i in range(60)) >= 50 and all(a.start == 4 and a.end == 44 for i in range(60) for a in got[1000 + i])
 
 
+def test_pieces_of_tokens_that_no_encoding_fits():
+    cut = lambda t: [[t[s:e] for s, e in g] for g in secrets.pieces(t)]
+    assert cut("sessionid=8sK2dLq0Zx9VbN3mT7yR") == [["8sK2dLq0Zx9VbN3mT7yR"]]
+    assert cut("sig=Zm9vYmFyYmF6cXV4MTIz==") == [["Zm9vYmFyYmF6cXV4MTIz=="]]
+    assert cut("/var/my_app/8sK2dLq0Zx9VbN3mT7yR") == [["app/8sK2dLq0Zx9VbN3mT7yR", "8sK2dLq0Zx9VbN3mT7yR"]]
+    assert cut("k_aB3+dE5/gH7+jK9/mN1+pQ=x") == [["aB3+dE5/gH7+jK9/mN1+pQ"]]
+    assert cut("Zm9vYmFyYmF6cXV4MTIz==") == [["Zm9vYmFyYmF6cXV4MTIz=="]] and cut("=" * 20) == [] and cut("a_b/" * 5) == [[]]
+    text = "x=8sK2dLq0Zx9VbN3mT7yR=deadbeefdeadbeef"
+    assert [[text[t["start"]:t["end"]] for t in g] for g in secrets.tokens(text, secrets.base_spans(text))] == [["8sK2dLq0Zx9VbN3mT7yR"]]
+
+
+def test_random_values_in_mixed_tokens_are_added(spark):
+    rng = random.Random(5)
+    syllables = "an en er on th re st ing ea he in at ti or nd".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(9))[:rng.randrange(16, 20)]
+    key = lambda: "".join(rng.choice("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(40))
+    before = ("sessionid=", "/var/my_app/", "a+b-", "=")
+    table = [(i, f"{word()} {word()} {word()}") for i in range(400)] + [(1000 + i, f"use {before[i % 4]}{key()} here") for i in range(80)]
+    got = {r.doc_id: r.added for r in secrets.secret_spans(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert not any(got[i] for i in range(400)) and all(len(got[1000 + i]) <= 1 for i in range(80))
+    for k, prefix in enumerate(before):
+        ends = [a.end for i in range(k, 80, 4) for a in got[1000 + i]]
+        assert len(ends) >= 15 and set(ends) == {4 + len(prefix) + 40}
+
+
 def test_misfit_of_uniform_values():
     rng = np.random.default_rng(1)
     for size in (16, 62):
