@@ -48,6 +48,7 @@ ENCODINGS = tuple(
         ("lower letters", "abcdefghijklmnopqrstuvwxyz"),
         ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
         ("lower base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
+        ("upper base36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
         ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
         ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
         ("url base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),

@@ -256,6 +256,15 @@ def test_misfit_of_uniform_values():
         assert secrets.misfit(np.arange(40) % size, size) > 30 and secrets.misfit(np.zeros(40, int), size) > 30
 
 
+def test_random_strings_of_every_alphabet_fit_at_every_length():
+    rng = random.Random(6)
+    own = {name: "".join(chr(c) for c in range(128) if table[c] >= 0) for name, table, _ in secrets.ENCODINGS}
+    for chars in (*own.values(), "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        for n in secrets.CLASSES:
+            drawn = [secrets.misfit(*secrets.encoding("".join(rng.choice(chars) for _ in range(n)))[1:]) for _ in range(200)]
+            assert 3.5 < np.median(drawn) < 7, (chars, n)
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.1"
     scored = QUERIES["op3_ngram_toxicity"](spark, folder).toPandas()
