@@ -3,7 +3,10 @@
 Everything runs in DataFrame expressions. The base patterns find e-mail addresses, IP addresses, card
 numbers and phone numbers; their matches that pass the kind's check are spans, whatever the model
 says. Further patterns propose, with high recall, addresses written with (at), phone numbers without a
-country code, and identity and account numbers.
+country code, and identity and account numbers; and the cards, addresses and phone numbers that begin and
+end at the borders of digit groups in or across base matches that fail their check. Proposals may overlap:
+each pattern is matched on its own, most of them at every place and with every end. The model scores all,
+and of chosen ones that overlap the likeliest stays, then the longest.
 
 Every candidate has a few small format and context features, so that all candidates of a corpus fall
 into at most ``CELLS`` cells. The trees are trained on these cells, weighted with their counts: base
@@ -38,7 +41,20 @@ PROPOSED = {
     "id": r"(?<![0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
-PROPOSED_TEST = r"[(\[]at[)\]]|[0-9]{3}[\x20.-][0-9]{4}|-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[\x20A-Z0-9]"
+# A cheap test that each of them implies.
+PROPOSED_TEST = {"email": r"[(\[]at[)\]]", "phone": r"[0-9]{3}[\x20.-][0-9]{4}", "id": r"-[0-9]{2}-[0-9]{4}", "iban": r"[A-Z]{2}[0-9]{2}[\x20A-Z0-9]"}
+_IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){%s}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+_PHONE = r"\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"
+_IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+# Proposals that may start inside others: what is not before a start, the longest match, every match to be proposed, and a test.
+WINDOWS = {
+    "ip": ("[0-9]", _IP, (_IP,), BASE["ip"][1]),
+    "card": ("[0-9]", r"[0-9](?:[\x20-]?[0-9]){12,18}", tuple(rf"[0-9](?:[\x20-]?[0-9]){{{n - 1}}}(?![0-9])" for n in range(13, 20)), BASE["card"][1]),
+    "phone": ("[0-9+.-]", _PHONE, (_PHONE,), PROPOSED_TEST["phone"]),
+    "iban": ("[A-Za-z0-9]", _IBAN % "2,7", tuple(_IBAN % n for n in range(2, 8)), PROPOSED_TEST["iban"]),
+}
+# Beginnings of a base phone match that fails its check.
+PREFIXES = tuple(rf"\+[0-9](?:[\x20().-]*+[0-9]){{{n - 1}}}(?![0-9])" for n in range(9, 16))
 KINDS = ("email", "ip", "card", "phone", "id", "iban")
 FAMILY = {"email": 0, "ip": 1, "card": 2, "phone": 3, "id": 2, "iban": 2}
 CONTEXT = r"(?i)(?:mail|contact|phone|tel|call|fax|mobile|card|visa|account|iban|ssn|passport|host|server|addr)"
@@ -76,6 +92,47 @@ def _spans(name: str) -> Column:
     return F.aggregate(near, begin, step, lambda acc: acc["out"])
 
 
+def _window_cuts(text: str, kind: str, df: DataFrame) -> DataFrame:
+    """*df* with the windows of a kind, each from a start to one character past the longest match, and the pieces between starts."""
+    before, longest, _, test = WINDOWS[kind]
+    pattern = rf"(?<!{before})(?=({longest}[\s\S]?))"
+    meets = F.col(text).rlike(test)
+    none = F.array().cast("array<string>")
+    return df.withColumns({
+        f"_hits_window_{kind}": F.when(meets, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).otherwise(none),
+        f"_gaps_window_{kind}": F.when(meets, F.split(F.col(text), pattern, -1)).otherwise(none),
+    })
+
+
+def _prefixes(window: Column, patterns: tuple[str, ...], start: Column, left: Column, past: Column) -> Column:
+    """The patterns' matches at the begin of *window* as spans; *past* is what follows the window."""
+    found = F.filter(F.array_distinct(F.array(*[F.regexp_extract(window, f"^(?:{p})", 0) for p in patterns])), lambda h: h != "")
+    return F.transform(found, lambda h: F.struct(
+        start.alias("start"), (start + F.length(h)).alias("end"), h.alias("hit"), left.alias("left"),
+        F.when(F.length(h) < F.length(window), F.substring(window, F.length(h) + 1, F.lit(1))).otherwise(past).alias("right"),
+    ))
+
+
+def _window_spans(kind: str) -> Column:
+    """Every match to be proposed at every start, as spans like those of ``_spans``."""
+    hits, pieces = F.col(f"_hits_window_{kind}"), F.col(f"_gaps_window_{kind}")
+    gaps = F.when(F.size(pieces) == F.size(hits), F.concat(F.array(F.lit("")), pieces)).otherwise(pieces)  # no piece before a start at 0
+    # Starts are two characters apart at least, so that twelve pieces hold 24.
+    near = F.transform(hits, lambda h, i: F.struct(
+        h.alias("hit"), F.length(F.get(gaps, i)).alias("gap"),
+        F.right(F.array_join(F.slice(gaps, F.greatest(i - 10, F.lit(1)), F.least(i + 1, F.lit(12))), ""), F.lit(24)).alias("left"),
+    ))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,hit:string,left:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        window = F.struct(start.alias("start"), x["hit"].alias("hit"), x["left"].alias("left"))
+        return F.struct(start.alias("at"), F.concat(acc["out"], F.array(window)).alias("out"))
+
+    placed = F.aggregate(near, begin, step, lambda acc: acc["out"])
+    return F.flatten(F.transform(placed, lambda w: _prefixes(w["hit"], WINDOWS[kind][2], w["start"], w["left"], F.lit(""))))
+
+
 def _digits(hit: Column) -> Column:
     return F.regexp_replace(hit, "[^0-9]", "")
 
@@ -126,28 +183,45 @@ def candidates(docs: DataFrame) -> DataFrame:
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
     for kind, (pattern, test) in BASE.items():
         df = _cuts("_text", kind, pattern, test, df)
-    df = _cuts("_text", "proposed", "|".join(f"(?:{p})" for p in PROPOSED.values()), PROPOSED_TEST, df)
-    names = [*BASE, "proposed"]
-    df = df.select("doc_id", *[_spans(name).alias(name) for name in names])
+    plain = [name for name in PROPOSED if name not in WINDOWS]
+    for name in plain:
+        df = _cuts("_text", f"proposed_{name}", PROPOSED[name], PROPOSED_TEST[name], df)
+    for kind in WINDOWS:
+        df = _window_cuts("_text", kind, df)
+    df = df.select(
+        "doc_id", *[_spans(name).alias(name) for name in BASE], *[_spans(f"proposed_{name}").alias(f"proposed_{name}") for name in plain],
+        *[_window_spans(kind).alias(f"window_{kind}") for kind in WINDOWS],
+    )
 
     def of_base(kind: str) -> Column:
         return F.transform(F.col(kind), lambda x: F.struct(
             F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _cell(F.lit(kind), x).alias("cell"), _passes(kind, x["hit"]).alias("base"),
         ))
 
-    def proposed(x: Column) -> Column:
-        hit, kind = x["hit"], F.lit("iban")
-        for name in ("id", "phone", "email"):
-            kind = F.when(hit.rlike(rf"^(?:{PROPOSED[name]})$"), name).otherwise(kind)
-        return F.struct(kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _cell(kind, x).alias("cell"), F.lit(None).cast("boolean").alias("base"))
+    def proposed(kind: str, spans: Column) -> Column:
+        return F.transform(spans, lambda x: F.struct(
+            F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _cell(F.lit(kind), x).alias("cell"), F.lit(None).cast("boolean").alias("base"),
+        ))
 
-    df = df.select("doc_id", F.concat(*[of_base(k) for k in BASE]).alias("base"), F.transform("proposed", proposed).alias("proposed"))
-    free = F.filter("proposed", lambda p: ~F.exists("base", lambda b: b["base"] & (b["start"] < p["end"]) & (b["end"] > p["start"])))
+    def checked(kind: str) -> Column:
+        return F.filter(f"window_{kind}", lambda x: _passes(kind, x["hit"]))
+
+    failed = F.filter("phone", lambda x: ~_passes("phone", x["hit"]))
+    inner = F.flatten(F.transform(failed, lambda x: _prefixes(x["hit"], PREFIXES, x["start"], x["left"], x["right"])))
+    df = df.select(
+        "doc_id", F.concat(*[of_base(k) for k in BASE]).alias("base"),
+        F.concat(
+            *[proposed(name, F.col(f"proposed_{name}")) for name in plain], proposed("phone", inner),
+            *[proposed(k, checked(k) if k in ("ip", "card") else F.col(f"window_{k}")) for k in WINDOWS],
+        ).alias("proposed"),
+    )
+    df = df.withColumn("passed", F.filter("base", lambda b: b["base"]))
+    free = F.filter("proposed", lambda p: ~F.exists("passed", lambda b: (b["start"] < p["end"]) & (b["end"] > p["start"])))
     return df.select("doc_id", F.concat("base", free).alias("found"))
 
 
-def _trained(cells: DataFrame) -> list[int]:
-    """Cells whose proposals become spans. *cells* (cell, base, held, n) has at most 5 * CELLS rows."""
+def _trained(cells: DataFrame) -> dict[int, float]:
+    """Scores of the cells whose proposals become spans. *cells* (cell, base, held, n) has at most 5 * CELLS rows."""
     spread = cells
     below = 1
     for name, levels in reversed(list(zip(FEATURES, LEVELS))):
@@ -157,7 +231,7 @@ def _trained(cells: DataFrame) -> list[int]:
     known = points.where("base is not null").withColumn("label", F.col("base").cast("double")).withColumn("weight", F.log1p("n"))
     fitted = known.where(~F.col("held"))
     if fitted.select("label").distinct().count() < 2 or points.where("base is null").isEmpty():
-        return []
+        return {}
     model = GBTClassifier(labelCol="label", weightCol="weight", maxDepth=4, maxIter=8, stepSize=0.3, seed=3).fit(fitted)
     chance = vector_to_array("probability").getItem(1)
     told = model.transform(known.where("held")).select(chance.alias("p"), "label", "weight").collect()
@@ -167,14 +241,29 @@ def _trained(cells: DataFrame) -> list[int]:
         if sum(r["weight"] * r["label"] for r in above) >= PRECISION * sum(r["weight"] for r in above):
             threshold = t
     chosen = model.transform(points.where("base is null")).where(chance >= threshold)
-    return sorted(r["cell"] for r in chosen.select("cell").distinct().collect())
+    return {r["cell"]: r["p"] for r in chosen.select("cell", chance.alias("p")).distinct().collect()}
+
+
+def _apart(spans: Column) -> Column:
+    """Of spans (score, kind, start, end) those left when no two may overlap: by score, then length, then place."""
+    order = F.array(*[F.lit(k) for k in KINDS])
+    ranked = F.array_sort(F.transform(spans, lambda c: F.struct(
+        (-c["score"]).alias("low"), (c["start"] - c["end"]).alias("less"), c["start"].alias("start"), F.array_position(order, c["kind"]).alias("rank"), c["end"].alias("end"), c["kind"].alias("kind"),
+    )))
+    none = F.array().cast("array<struct<low:double,less:int,start:int,rank:bigint,end:int,kind:string>>")
+
+    def take(kept: Column, c: Column) -> Column:
+        meets = F.exists(kept, lambda k: (k["start"] < c["end"]) & (k["end"] > c["start"]))
+        return F.when(meets, kept).otherwise(F.concat(kept, F.array(c)))
+
+    return F.aggregate(ranked, none, take)
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans, added): the spans (kind, start, end) of every row of *docs* (doc_id, text).
 
     Positions count code points, the end is exclusive. *spans* are the base spans that pass their
-    checks, *added* the proposals that the model chooses, neither of which meets the other; both are
+    checks, *added* the proposals that the model chooses, which meet neither those nor each other; both are
     ordered by kind and start. Null and empty texts have none. Rows are neither joined nor grouped,
     so repeated rows and ids come out as they are; other columns are not read. Without checked matches
     of both outcomes there is no model, and nothing is added.
@@ -185,14 +274,18 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     chosen = _trained(stored(cells, "pii-cells"))
     order = F.array(*[F.lit(k) for k in KINDS])
 
-    def ordered(keep) -> Column:
-        ranked = F.transform(F.filter("found", keep), lambda c: F.struct(F.array_position(order, c["kind"]).alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
+    def ordered(spans: Column) -> Column:
+        ranked = F.transform(spans, lambda c: F.struct(F.array_position(order, c["kind"]).alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
         return F.transform(F.array_sort(ranked), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
 
-    picked = F.array(*[F.lit(c) for c in chosen]).cast("array<int>")
+    # Score by cell, negative where it is not chosen.
+    scores = F.split(F.lit(",".join(repr(chosen.get(c, -1.0)) for c in range(CELLS))), ",").cast("array<double>")
+    scored = F.transform(F.filter("found", lambda c: c["base"].isNull()), lambda c: F.struct(
+        F.get(scores, c["cell"]).alias("score"), c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"),
+    ))
+    picked = _apart(F.filter(scored, lambda c: c["score"] >= 0))
     return found.select(
-        "doc_id", ordered(lambda c: F.coalesce(c["base"], F.lit(False))).alias("spans"),
-        ordered(lambda c: c["base"].isNull() & F.array_contains(picked, c["cell"])).alias("added"),
+        "doc_id", ordered(F.filter("found", lambda c: F.coalesce(c["base"], F.lit(False)))).alias("spans"), ordered(picked).alias("added"),
     )
 
 
