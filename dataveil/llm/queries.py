@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataveil.llm import decontaminate, language, lm_score, mixing, near_dup, oracles, pii, secrets, sharding, token_counts, toxicity, vector_dup
+from dataveil.llm import conversation_repair, decontaminate, language, lm_score, mixing, near_dup, oracles, pii, secrets, sharding, token_counts, toxicity, vector_dup
 from dataveil.llm.store import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op11_prefix_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     index = stored(token_counts.prefix_counts(_table(spark, folder, "documents")), "token-counts")
     fits = token_counts.fitting(index, [1024])
     return fits.select("doc_id", "n_bytes", "n_tokens", token_counts.over(index, 1024).alias("over_limit"), F.col("fits")[0]["n_chars"].alias("chars_in_limit"))
+
+
+@_query
+def op13_auction_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.repair_digest(conversation_repair.damaged(_table(spark, folder, "conversations")))
