@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataveil.llm import conversation_repair, decontaminate, language, lm_score, mixing, near_dup, oracles, pii, secrets, sharding, token_counts, toxicity, vector_dup
+from dataveil.llm import conversation_repair, decontaminate, language, lm_score, mixing, near_dup, oracles, pii, secrets, sharding, spelling, token_counts, toxicity, vector_dup
 from dataveil.llm.store import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op11_prefix_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op13_auction_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_repair.repair_digest(conversation_repair.damaged(_table(spark, folder, "conversations")))
+
+
+@_query
+def op12_fm_index_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(_table(spark, folder, "documents")))

@@ -17,10 +17,13 @@ on truncation and budgets are answered from it; nothing is encoded again.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -31,14 +34,22 @@ from tokenizers import Tokenizer
 from dataveil.llm.words import chunks
 
 VOCABULARY = "byte_bpe_50k.json"
-# Fixed value: the pattern of byte-level vocabularies, with white space by its Unicode property.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-SPACES = regex.compile(r"\p{White_Space}{2,}+")
-CONTRACTIONS = ("'re", "'ve", "'ll")
 #: Below this character all Unicode versions agree on letters and numbers; texts with others are split by the library itself.
 SETTLED = "\u0530"
+
+
+def _signs(kind: str) -> str:
+    """The settled characters of a general category, for a character class."""
+    return "".join(re.escape(c) for c in map(chr, range(ord(SETTLED))) if unicodedata.category(c)[0] == kind)
+
+
+_L, _N, _S = _signs("L"), _signs("N"), r"\t-\r \x85\xa0"
+# Fixed value: the pattern of byte-level vocabularies, letters first, as most pieces are words.
+PIECE = re.compile(f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+SPACES = regex.compile(r"\p{White_Space}{2,}+")
+CONTRACTIONS = ("'re", "'ve", "'ll")
 #: Pieces (twice) and pairs of tokens that a Python worker remembers, and the longest piece it does.
-PIECES, PAIRS, LONGEST = 1 << 18, 1 << 20, 64
+PIECES, PAIRS, LONGEST = 1 << 18, 1 << 19, 64
 _NEVER = 1 << 40
 _WIDTH = 1 << 24
 
@@ -73,8 +84,7 @@ class Merges:
         self._edges: dict[int, tuple[list[int], list[int]]] = {}
         self._apart: dict[int, bool] = {}
         whole: set[int] = set()
-        self.trie: dict = {}
-        self.longest = 1
+        self.matches = ahocorasick.Automaton()
         for token, i in sorted(names.items(), key=lambda x: self.rank[x[1]]):
             if i in self.parts:
                 left, right = self.parts[i]
@@ -84,11 +94,8 @@ class Merges:
             elif len(token) > 1:
                 continue
             whole.add(i)
-            node = self.trie
-            for sign in token:
-                node = node.setdefault(signs[sign], {})
-            node[-1] = i
-            self.longest = max(self.longest, len(token))
+            self.matches.add_word("".join(chr(signs[sign]) for sign in token), (len(token), i))
+        self.matches.make_automaton()
         strings = sorted((a["content"] for a in added), key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, strings)) + ")") if strings else None
 
@@ -134,41 +141,39 @@ class Merges:
             found = self._apart[key] = self._first_merge(left, right) is None
         return found
 
-    def counts(self, raw: bytes) -> list[int]:
-        """Number of tokens of every prefix of *raw*, a piece in bytes; the empty one first."""
+    def counts(self, raw: str) -> list[int]:
+        """Number of tokens of every prefix of *raw*, a piece with one character per byte; the empty one first."""
         n = len(raw)
         last: list[int] = [-1] * (n + 1)
         count = [0] * (n + 1)
-        trie, memo, longest = self.trie, self._apart, self.longest
-        for i in range(n):
-            before, node, more, j = last[i] * _WIDTH, trie, count[i] + 1, i
-            for byte in raw[i : i + longest]:
-                node = node.get(byte)
-                if node is None:
-                    break
-                j += 1
-                if not count[j] and -1 in node:
-                    token = node[-1]
-                    if i:
-                        fits = memo.get(before + token)
-                        if fits is None:
-                            fits = self.apart(last[i], token)
-                        if not fits:
-                            continue
-                    last[j], count[j] = token, more
+        memo = self._apart
+        for end, (size, token) in self.matches.iter(raw):  # at each end the longest token first
+            end += 1
+            if count[end]:
+                continue
+            start = end - size
+            if start:
+                fits = memo.get(last[start] * _WIDTH + token)
+                if fits is None:
+                    fits = self.apart(last[start], token)
+                if not fits:
+                    continue
+            last[end], count[end] = token, count[start] + 1
         return count
 
 
 class Steps(dict):
-    """The steps of a piece by code point, as 32-bit numbers; short pieces are remembered."""
+    """The steps of a piece by code point, one signed byte each; short pieces are remembered."""
 
     def __init__(self, merges: Merges, split: Callable[[str], list]) -> None:
         super().__init__()
         self.merges, self.split = merges, split
         self.older: dict[str, bytes] = {}
 
+    __hash__ = object.__hash__
+
     def __missing__(self, piece: str) -> bytes:
-        out = self.older.get(piece) or self._made(piece)
+        out = self.older.get(piece) or array("b", self.of(piece)).tobytes()
         if len(piece) <= LONGEST:
             if len(self) >= PIECES:
                 self.older = dict(self)
@@ -176,30 +181,37 @@ class Steps(dict):
             self[piece] = out
         return out
 
-    def _made(self, piece: str) -> bytes:
+    def of(self, piece: str) -> list[int]:
+        """The steps of a piece, whatever their size."""
         if piece in CONTRACTIONS:  # its first two characters alone are two pieces
-            count = [0, 1, 2, self.merges.counts(piece.encode())[-1]]
+            count = [0, 1, 2, self.merges.counts(piece)[-1]]
+        elif piece.isascii():
+            count = self.merges.counts(piece)
         else:
             raw = piece.encode()
-            count = self.merges.counts(raw)
-            if len(raw) > len(piece):
-                ends = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-                count = [*(count[e] for e in ends), count[-1]]
-        return array("i", map(int.__sub__, count[1:], count)).tobytes()
+            count = self.merges.counts(raw.decode("latin-1"))
+            ends = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+            count = [*(count[e] for e in ends), count[-1]]
+        return list(map(int.__sub__, count[1:], count))
+
+    @lru_cache(maxsize=4096)
+    def last(self, run: str) -> int:
+        return self.of(run)[-1]
 
     def ordinary(self, text: str) -> np.ndarray:
         """Steps of a text without special strings."""
         pieces = PIECE.findall(text) if max(text, default="") < SETTLED else [text[a:b] for _, (a, b) in self.split(text)]
-        out = np.frombuffer(b"".join(map(self.__getitem__, pieces)), np.int32)
+        try:
+            out = np.frombuffer(b"".join(map(self.__getitem__, pieces)), np.int8).astype(np.int32)
+        except OverflowError:  # a step of more than a byte
+            out = np.array([step for piece in pieces for step in self.of(piece)], np.int32)
         runs = [m.span() for m in SPACES.finditer(text)]
         if runs and runs[-1][1] == len(text):
             runs.pop()
-        if runs:  # up to its last character a run of white space is one piece, which the next character cuts
-            out = out.copy()
-            for start, end in runs:
-                run = np.frombuffer(self[text[start:end]], np.int32)
-                out[end] += out[end - 1] - run[-1]
-                out[end - 1] = run[-1]
+        for start, end in runs:  # up to its last character a run of white space is one piece, which the next character cuts
+            last = self.last(text[start:end])
+            out[end] += out[end - 1] - last
+            out[end - 1] = last
         return out
 
     def steps(self, text: str) -> np.ndarray:
@@ -229,14 +241,33 @@ def _steps(vocabulary: str) -> Steps:
     return Steps(merges, Tokenizer.from_file(vocabulary).pre_tokenizer.pre_tokenize_str)
 
 
-INDEX = "doc_id long, n_bytes long, n_tokens long, steps array<int>"
+WIDE = "array<struct<at:int,by:int>>"
+INDEX = f"doc_id long, n_bytes long, n_tokens long, steps binary, wide {WIDE}"
+_WIDE = pa.list_(pa.struct([("at", pa.int32()), ("by", pa.int32())]))
+
+
+def packed(steps: np.ndarray) -> tuple[bytes, list[dict]]:
+    """Steps as one signed byte each, and what those that need more have to add."""
+    low = steps.astype(np.int8)
+    wide = np.flatnonzero(low != steps)
+    return low.tobytes(), [{"at": int(k), "by": int(steps[k]) - int(low[k])} for k in wide]
+
+
+def prefix_sums(steps: bytes, wide: list[dict]) -> np.ndarray:
+    """Token counts of the empty prefix and of every longer one."""
+    found = np.zeros(len(steps) + 1, np.int64)
+    found[1:] = np.frombuffer(steps, np.int8)
+    for w in wide:
+        found[w["at"] + 1] += w["by"]
+    return np.cumsum(found, out=found)
 
 
 def prefix_counts(docs: DataFrame, vocabulary: str = VOCABULARY, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, steps) for every row of *docs* (doc_id, text), with *keep_text* also text.
+    """(doc_id, n_bytes, n_tokens, steps, wide) for every row of *docs* (doc_id, text), with *keep_text* also text.
 
-    ``steps`` has one number per code point: the tokens of the prefix that ends with it less those of
-    the prefix before it, so that running sums are the exact counts and the whole sum is n_tokens.
+    ``steps`` has one signed byte per code point: the tokens of the prefix that ends with it less those
+    of the prefix before it, so that running sums are the exact counts and the whole sum is n_tokens.
+    A step that needs more than a byte has its rest in ``wide``.
     A count may fall, as when a word's last letter makes it one token. Null and empty texts have no
     steps, no bytes and no tokens; null ids, repeated rows and ids come out as they are; other columns
     are not read. Texts are taken whole, a few MB at a time or one longer text.
@@ -249,12 +280,10 @@ def prefix_counts(docs: DataFrame, vocabulary: str = VOCABULARY, keep_text: bool
             for i, j in chunks(np.concatenate([[0], np.cumsum(batch.column("n_bytes").to_numpy())])):
                 part = batch.slice(i, j - i)
                 found = [known.steps(t) if t else np.zeros(0, np.int32) for t in part.column("text").to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in found])])
-                flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32())
-                steps = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+                steps, wide = zip(*map(packed, found))
                 total = pa.array([int(s.sum()) for s in found], pa.int64())
-                columns = [part.column("doc_id"), *(part.column(c) for c in kept), part.column("n_bytes"), total, steps]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *kept, "n_bytes", "n_tokens", "steps"])
+                columns = [part.column("doc_id"), *(part.column(c) for c in kept), part.column("n_bytes"), total, pa.array(steps, pa.binary()), pa.array(wide, _WIDE)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *kept, "n_bytes", "n_tokens", "steps", "wide"])
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
@@ -263,19 +292,18 @@ def prefix_counts(docs: DataFrame, vocabulary: str = VOCABULARY, keep_text: bool
 
 
 def fitting(index: DataFrame, limits: list[int]) -> DataFrame:
-    """*index* without steps, and ``fits``: for each of *limits* the code points and tokens of the longest prefix of at most so many tokens.
+    """*index* without its steps, and ``fits``: for each of *limits* the code points and tokens of the longest prefix of at most so many tokens.
 
     The empty prefix fits every limit that is not negative; a negative limit counts as zero.
     """
     fits = pa.list_(pa.struct([("tokens_at_most", pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64())]))
-    others = [c for c in index.columns if c != "steps"]
+    others = [c for c in index.columns if c not in ("steps", "wide")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            column = batch.column("steps")
-            for k in range(batch.num_rows):
-                count = np.concatenate([[0], np.cumsum(column[k].values.to_numpy(), dtype=np.int64)])
+            for steps, wide in zip(batch.column("steps"), batch.column("wide")):
+                count = prefix_sums(steps.as_py(), wide.as_py())
                 row = []
                 for limit in limits:
                     # from the end: only the last prefix that fits is asked for
@@ -284,7 +312,7 @@ def fitting(index: DataFrame, limits: list[int]) -> DataFrame:
                 found.append(row)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(found, fits)], [*others, "fits"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema.fields if f.name != "steps")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema.fields if f.name in others)
     return index.mapInArrow(run, f"{schema}, fits array<struct<tokens_at_most:bigint,n_chars:bigint,n_tokens:bigint>>")
 
 
