@@ -101,7 +101,8 @@ def suffix_order(symbols: np.ndarray, bits: int) -> np.ndarray:
     rank = np.zeros(n, np.int64)
     for k in range(width):
         rank <<= bits
-        rank[: n - k] += symbols[k:] if k else symbols
+        if k < n:
+            rank[: n - k] += symbols[k:]
     while True:
         order = np.argsort(rank, kind="stable")
         dense = np.zeros(n, np.int64)
@@ -198,6 +199,8 @@ def _near(group: pa.Table) -> pa.Table:
     asked = np.array([number[w] for w in asks.column("word").to_pylist()], np.int64)
     low, high = asks.column("a").to_numpy().astype(np.int64), asks.column("b").to_numpy().astype(np.int64)
     near, best = np.zeros(len(asked), np.int64), np.full(len(asked), -1, np.int64)
+    if not len(asked):
+        return pa.table({"word": pa.array([], pa.string()), "n_near": near, "best_n": near, "best": pa.array([], pa.string())})
     index = Index(words)
     size = index.starts[asked + 1] - index.starts[asked] - 1
     rightward = low >= size + 1 - high  # from the side where more of the word is exact
