@@ -24,6 +24,12 @@ def _texts(df: DataFrame) -> dict[str, Column]:
     return found
 
 
+def stacked_texts(df: DataFrame, name: str, text: str) -> DataFrame:
+    """(name, text) of every text column of every row; null texts are kept, so that rows can be counted."""
+    cells = [F.struct(F.lit(n).alias(name), c.alias(text)) for n, c in _texts(df).items()]
+    return df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+
+
 def leak_counts(
     df: DataFrame, name: str, *, sentinels: list[str] | None = None, detect: bool = True
 ) -> DataFrame:

@@ -36,13 +36,19 @@ def weekly_trend(findings: DataFrame, as_of: str | datetime, days: int = 84) ->
     by_week = by_table.groupBy("week_start").agg(
         F.count_if("flagged").alias("new_flagged"), F.count_if("done").alias("new_remediated")
     )
-    one = findings.sparkSession.range(1)
-    spine = one.select(F.explode(F.sequence(
-        F.date_trunc("week", first), F.date_trunc("week", now), F.expr("INTERVAL 7 DAYS")
-    )).alias("week_start"))
-    spine = spine.withColumn(
-        "week_start", F.col("week_start").cast(findings.schema["created_at"].dataType)
-    )
+    return trend_of_weeks(by_week, as_of, days)
+
+
+def trend_of_weeks(by_week: DataFrame, as_of: str | datetime, days: int = 84) -> DataFrame:
+    """Every week of the last *days* with its (week_start, new_flagged, new_remediated), running totals and score.
+
+    Weeks without a row have zeros; the running sums are over the weeks only.
+    """
+    kind = by_week.schema["week_start"].dataType
+    now = clock(as_of, by_week, "week_start")
+    spine = by_week.sparkSession.range(1).select(F.explode(F.sequence(
+        F.date_trunc("week", now - F.make_dt_interval(F.lit(days))), F.date_trunc("week", now), F.expr("INTERVAL 7 DAYS")
+    )).alias("week_start")).select(F.col("week_start").cast(kind).alias("week_start"))
     running = Window.orderBy("week_start").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

@@ -81,6 +81,15 @@ def new_edges(edges: DataFrame, existing: DataFrame) -> DataFrame:
     return once.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
+def inferred_audit(edges: DataFrame, table_id: str, actor: str, at: Column) -> DataFrame:
+    """One audit row for a run of path inference on a table: how many edges it added, also when none."""
+    counted = edges.agg(F.count(F.lit(1)).alias("edges_created"))
+    return audit_rows(
+        counted, F.lit("lineage_inferred"), F.lit(table_id), F.lit(actor), at,
+        F.struct(F.lit("path_heuristic").alias("method"), "edges_created"), at,
+    )
+
+
 def cascade_review(
     edges: DataFrame, table_id: str, actor: str, at: Column,
     min_confidence: float = CASCADE_CONFIDENCE,

@@ -7,6 +7,8 @@ the wanted rank falls. Cut-offs of a hash order use the same idea with one digit
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,10 +60,12 @@ def _narrow(spans: DataFrame) -> DataFrame:
 
 def exact_quantiles(
     df: DataFrame, group: str, value: str, probabilities: list[float], bits: int = 32,
-    weight: str | None = None,
+    weight: str | None = None, decode: Callable[[Column], Column] = lambda found: found,
 ) -> DataFrame:
     """Interpolated quantiles per group of a whole-number column: (group, n, q_<per mille>...).
 
+    With *decode* the column is a key of the same order and the values it stands for are interpolated.
+
     The position of a quantile p among n sorted rows is p * (n - 1); between two rows the value is
     interpolated linearly.
     """
@@ -85,7 +89,7 @@ def exact_quantiles(
     values = order_statistics(df, group, value, ranks, bits, weight)
     wide = values.groupBy(group).pivot(
         "target", list(range(2 * len(probabilities)))
-    ).agg(F.first(value))
+    ).agg(F.first(decode(F.col(value))))
     joined = sizes.join(wide, group)
     outputs = []
     for i, p in enumerate(probabilities):
@@ -138,3 +142,27 @@ def train_val_test(
         "split", F.when(key_hash <= F.lit(first), "train")
         .when(key_hash <= F.lit(max(first, second)), "val").otherwise("test"),
     )
+
+
+def ordered_bits(value: Column) -> Column:
+    """A double as a whole number of the same order, from its exponent and fraction; exact, and undone by :func:`from_ordered_bits`.
+
+    Subnormal numbers count as zero, NaN as more than everything.
+    """
+    size = F.abs(value)
+    guess = F.floor(F.log2(size)).cast("double")
+    exponent = F.when(size / F.pow(F.lit(2.0), guess) >= 2, guess + 1).when(size / F.pow(F.lit(2.0), guess) < 1, guess - 1).otherwise(guess)
+    fraction = (size / F.pow(F.lit(2.0), exponent) - 1) * F.lit(float(1 << 52))
+    whole = (exponent.cast("long") + 1023) * F.lit(1 << 52) + fraction.cast("long")
+    top = F.lit(2047 << 52)
+    key = F.when(F.isnan(value), top + 1).when(size == float("inf"), top).when(size < F.lit(2.0**-1022), F.lit(0)).otherwise(whole)
+    return F.when(value < 0, -key).otherwise(key).cast("long")
+
+
+def from_ordered_bits(key: Column) -> Column:
+    size = F.abs(key)
+    exponent = F.shiftright(size, 52)
+    fraction = size.bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / F.lit(float(1 << 52))
+    value = (F.lit(1.0) + fraction) * F.pow(F.lit(2.0), (exponent - 1023).cast("double"))
+    whole = F.when(exponent < 2047, F.when(size == 0, 0.0).otherwise(value)).when(fraction == 0, float("inf")).otherwise(float("nan"))
+    return F.when(key < 0, -whole).otherwise(whole)

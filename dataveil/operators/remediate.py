@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from dataveil.functions.masks import get_flagged, mask_table
 from dataveil.operators.audit import audit_rows
 from dataveil.operators.governance import expiry_transitions
 from dataveil.operators.state import quarantine_findings
-from dataveil.sources.files import copy_files, delete_files, inventory, list_files, plan_moves
+from dataveil.sources.files import copy_files, delete_files, inventory, list_files, plan_expiry, plan_moves
+from dataveil.session import fresh_path
 from dataveil.sources.writers import AppendOnlyTable, VersionedTable
 
 
@@ -21,6 +24,13 @@ def _done(audit: DataFrame, event_type: str, table_id: str) -> bool:
     ).isEmpty()
 
 
+def _outcome(spark: SparkSession, copied: DataFrame) -> DataFrame:
+    """The outcome of copies, stored: reading it again copies and compares nothing again."""
+    path = fresh_path(spark, "copied-files")
+    copied.write.parquet(path)
+    return spark.read.schema(copied.schema).parquet(path)
+
+
 def anonymize(
     spark: SparkSession, table_id: str, source: DataFrame, target: VersionedTable,
     flagged: list[dict[str, str]], audit: AppendOnlyTable, at: Column,
@@ -64,7 +74,7 @@ def quarantine(
     """
     moves = plan_moves(list_files(spark, source_prefix), source_prefix, root, table_id)
     known = not manifest.read().where(F.col("table_id") == table_id).isEmpty()
-    copied = copy_files(moves)
+    copied = _outcome(spark, copy_files(moves))
     target = f"{root.rstrip('/')}/{table_id}/"
     entry = inventory(copied.select(F.col("copied_bytes").alias("bytes"))).select(
         sha_key(F.lit("manifest"), F.lit(table_id)).alias("id"), F.lit(table_id).alias("table_id"),
@@ -90,6 +100,20 @@ def quarantine(
     return summary | ({"reason": "already_quarantined"} if known else {})
 
 
+def _held_below(path: Column) -> Column:
+    """The folder that holds the tables' folders."""
+    return F.regexp_extract(path, "^(.*)/[^/]+/*$", 1)
+
+
+def _files_below(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return list_files(spark, root)
+    except AnalysisException as error:  # nothing was quarantined there, or all of it has been moved
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def sweep(
     spark: SparkSession, manifest: DataFrame, changes: AppendOnlyTable, audit: AppendOnlyTable,
     as_of: str, at: Column,
@@ -101,15 +125,11 @@ def sweep(
     """
     known = changes.read().select("table_id", "action")
     due = expiry_transitions(manifest, as_of).join(known, ["table_id", "action"], "left_anti")
-    for row in due.where("action = 'expire'").toLocalIterator():  # one row per table moved
-        root = row["expired_path"].rstrip("/").rpartition("/")[0]
-        try:
-            left = list_files(spark, row["quarantine_path"])
-        except AnalysisException as error:  # an earlier run moved all files and stopped before it stored that
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            continue
-        delete_files(copy_files(plan_moves(left, row["quarantine_path"], root, row["table_id"])))
+    expired = due.where("action = 'expire'")
+    listed = [files for (root,) in expired.select(_held_below(F.col("quarantine_path")).alias("root")).distinct().collect()
+              if (files := _files_below(spark, root)) is not None]  # one row per quarantine folder, not per table
+    if listed:
+        delete_files(_outcome(spark, copy_files(plan_expiry(reduce(DataFrame.unionByName, listed), expired))))
     stored = changes.append(due)
     audit.append(audit_rows(
         changes.read().where("action = 'expire'"), F.lit("quarantine_expired"), F.col("table_id"), F.lit("etl:expiry"), at,

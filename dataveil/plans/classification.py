@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dataveil.functions import detect
+from dataveil.functions.columns import sha_key
 from dataveil.functions.synthetic import LOCALES, labelled_rows, labelled_sql
 from dataveil.functions.vocab import COLUMN_NAMES, FLAG_THRESHOLD, LABELS, SAMPLE_ROWS
-from dataveil.operators import classify, evaluate, sampling, training
+from dataveil.operators import calibrate, classify, evaluate, sampling, scan, training
 from dataveil.operators.order_stats import train_val_test
+from dataveil.operators.state import latest_state
 from dataveil.plans.oracle import sql_list
-from dataveil.plans.registry import query
+from dataveil.plans.registry import ORACLES, query
+from dataveil.schemas import PII_FINDINGS, TRANSITIONS
+from dataveil.session import fresh_path
+from dataveil.sources.control import AS_OF
+from dataveil.sources.writers import AppendOnlyTable
 
 # ---- samples and profiles -----------------------------------------------------------------------
 
@@ -217,6 +224,57 @@ def _(c):
     return classify.classify_every_value(_cells(c, None))
 
 
+_FULL_SQL = ORACLES["column_labels_full"]
+
+
+@query("classified_findings_full", f"""
+    SELECT sha256(concat_ws('~', 'se-' || table_id, table_id, column_name)) AS id, table_id, column_name, pii_category, confidence,
+           flagged, CASE WHEN flagged THEN 'flagged' ELSE 'clean' END AS status
+    FROM ({_FULL_SQL})""")
+def _(c):
+    rows = classify.finding_rows(classify.classify_every_value(_cells(c, None)), F.concat(F.lit("se-"), "table_id"), F.current_timestamp())
+    return rows.select("id", "table_id", "column_name", "pii_category", "confidence", "flagged", "status")
+
+
+@query("replay_changes_full", f"""
+    SELECT table_id, column_name, 'v1' AS old_version, 'v2' AS new_version, pii_category AS old_category, 'NONE' AS new_category
+    FROM ({_FULL_SQL}) WHERE pii_category IN ('ADDRESS', 'FULL_NAME')""")
+def _(c):
+    def without_names(cells):
+        found = classify.classify_every_value(cells)
+        plain = F.col("pii_category").isin("ADDRESS", "FULL_NAME")
+        return found.withColumn("pii_category", F.when(plain, "NONE").otherwise(F.col("pii_category")))
+
+    cells = _cells(c, None)
+    before = classify.replay(cells, "v1", classify.classify_every_value)
+    return classify.label_changes(before, classify.replay(cells, "v2", without_names))
+
+
+@query("classification_job", f"""
+    SELECT table_id, column_name, pii_category, flagged, sha256('sample~' || table_id || '~' || column_name) AS column_sample_id,
+           'classified' AS column_status,
+           CASE WHEN max(flagged::INT) OVER (PARTITION BY table_id) = 1 THEN 'flagged' ELSE 'classified' END AS event_status
+    FROM ({_LABELS_SQL})""")
+def _(c):
+    """The job run twice, as after a failure; then findings with the states of their column and event."""
+    log = T.StructType([T.StructField("id", T.StringType()), *TRANSITIONS.fields])
+    findings = AppendOnlyTable(c.spark, fresh_path(c.spark, "findings"), PII_FINDINGS, ["id"])
+    moves = AppendOnlyTable(c.spark, fresh_path(c.spark, "transitions"), log, ["id"])
+    cells = _cells(c)
+    samples = cells.select("table_id", "column_name").distinct().select(
+        "table_id", "column_name", F.concat(F.lit("se-"), "table_id").alias("scanner_event_id"),
+        sha_key(F.lit("sample"), F.col("table_id"), F.col("column_name")).alias("id"),
+    )
+    for _ in range(2):
+        scan.classify_scans(cells, samples, findings, moves, "scan-1", F.lit(AS_OF).cast("timestamp"))
+    states = latest_state(moves.read(), order=("at", "id"))
+    column = states.select(F.col("entity_id").alias("column_sample_id"), F.col("status").alias("column_status"))
+    event = states.select(F.col("entity_id").alias("scanner_event_id"), F.col("status").alias("event_status"))
+    return findings.read().join(column, "column_sample_id").join(event, "scanner_event_id").select(
+        "table_id", "column_name", "pii_category", "flagged", "column_sample_id", "column_status", "event_status"
+    )
+
+
 @query("scan_transitions", """
     SELECT scanner_event_id AS entity_id, 'sampled' AS from_status,
            if(sum(flagged::INT) > 0, 'flagged', 'classified') AS status
@@ -303,6 +361,57 @@ def _(c):
     return evaluate.threshold_report(c.predictions(), ["0", "1"])
 
 
+_CURVE_SQL = """
+    SELECT label, score, sum(n) OVER w AS n, (sum(hits) OVER w) / (sum(n) OVER w) AS "precision",
+           coalesce((sum(hits) OVER w) / (SELECT count(*) FROM predictions WHERE truth = label), 0.0::DOUBLE) AS recall
+    FROM (SELECT predicted AS label, round(confidence, 4) AS score, count(*) AS n, count(*) FILTER (WHERE truth = predicted) AS hits
+          FROM predictions GROUP BY 1, 2)
+    WINDOW w AS (PARTITION BY label ORDER BY score DESC)"""
+
+
+@query("precision_recall", f"SELECT label, score, n::BIGINT AS n, \"precision\", recall FROM ({_CURVE_SQL})")
+def _(c):
+    return calibrate.precision_recall(calibrate.score_counts(c.predictions()), c.predictions())
+
+
+@query("flag_thresholds", f"""
+    SELECT label, min(score) FILTER (WHERE "precision" >= 0.52::DOUBLE) AS threshold,
+           arg_min("precision", score) FILTER (WHERE "precision" >= 0.52::DOUBLE) AS "precision",
+           arg_min(recall, score) FILTER (WHERE "precision" >= 0.52::DOUBLE) AS recall
+    FROM ({_CURVE_SQL}) GROUP BY 1""")
+def _(c):
+    curve = calibrate.precision_recall(calibrate.score_counts(c.predictions()), c.predictions())
+    return calibrate.flag_thresholds(curve, 0.52)
+
+
+# The greatest over lower scores of the least share of any run that begins there and reaches the score.
+_WORTH_SQL = """
+    WITH h AS (SELECT predicted AS label, round(confidence, 4) AS score, count(*) AS n, count(*) FILTER (WHERE truth = predicted) AS hits
+               FROM predictions GROUP BY 1, 2),
+    s AS (SELECT *, sum(n) OVER w AS cn, sum(hits) OVER w AS ch FROM h WINDOW w AS (PARTITION BY label ORDER BY score)),
+    runs AS (SELECT a.label, a.score AS low, b.score AS high, (b.ch - a.ch + a.hits) / (b.cn - a.cn + a.n) AS share
+             FROM s a JOIN s b ON b.label = a.label AND b.score >= a.score),
+    least AS (SELECT x.label, x.score, r.low, min(r.share) AS share
+              FROM s x JOIN runs r ON r.label = x.label AND r.low <= x.score AND r.high >= x.score GROUP BY ALL)
+    SELECT s.label, s.score, s.n, max(l.share) AS worth
+    FROM s JOIN least l ON l.label = s.label AND l.score = s.score GROUP BY ALL"""
+
+
+@query("calibrated_confidence", f"SELECT label, score, n, round(worth, 9) AS worth FROM ({_WORTH_SQL})")
+def _(c):
+    found = calibrate.calibrated(calibrate.score_counts(c.predictions()))
+    return found.withColumn("worth", F.round("worth", 9))
+
+
+@query("calibrated_flags", f"""
+    SELECT p.doc_id, p.predicted, round(w.worth, 9) AS worth, w.worth >= 0.5::DOUBLE AS flagged
+    FROM predictions p JOIN ({_WORTH_SQL}) w ON w.label = p.predicted AND w.score = round(p.confidence, 4)""")
+def _(c):
+    curve = calibrate.calibrated(calibrate.score_counts(c.predictions()))
+    found = calibrate.with_worth(c.predictions(), curve)
+    return found.select("doc_id", "predicted", F.round("worth", 9).alias("worth"), (F.col("worth") >= 0.5).alias("flagged"))
+
+
 # The rule scorer on labelled values whose column names say nothing.
 _BLIND_SQL = f"""
     SELECT truth, top_label AS predicted

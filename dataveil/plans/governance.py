@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from dataveil.functions.detect import LEAK_SHAPES, SPAN_SHAPES, text_spans
 from dataveil.functions.masks import STRATEGIES, mask
-from dataveil.operators import audit, checks, dsar, governance, inventory
+from dataveil.operators import archive, audit, checks, dsar, governance, ingest, inventory, value_index
 from dataveil.plans.inventory import FURTHEST, sorted_labels
 from dataveil.plans.masking import _spans_sql, card_sql, email_sql, phone_sql
 from dataveil.plans.oracle import NOW
 from dataveil.plans.registry import query
+from dataveil.session import fresh_path
 from dataveil.sources.control import AS_OF
+from dataveil.sources.writers import AppendOnlyTable, VersionedTable
 
 _SOURCES_SQL = """
     SELECT t.table_id, e.source_name, e.data_source_type, e.owner_email
@@ -157,6 +159,29 @@ def _(c):
     )
 
 
+@query("archive_run", f"""
+    SELECT strftime({_END['findings']}, '%Y-%m') AS due_month, count(*) AS rows,
+           (SELECT count(*) FROM pii_findings WHERE NOT ({_END['findings']} <= TIMESTAMP '{_DUE_AT}')) AS left_live,
+           (SELECT count(*) FROM pii_findings) AS rows_before
+    FROM pii_findings WHERE {_END['findings']} <= TIMESTAMP '{_DUE_AT}' GROUP BY 1""")
+def _(c):
+    """The archive job run twice: due findings lie in the archive once and are gone from the live table."""
+    root, findings = fresh_path(c.spark, "archive"), c.pii_findings()
+    live = VersionedTable(c.spark, f"{root}/live")
+    live.write(findings, "load")
+    manifest = AppendOnlyTable(c.spark, f"{root}/manifest", archive.MANIFEST, ["id"])
+    for _ in range(2):
+        done = archive.archive(c.spark, live, "findings", "created_at", _DUE_AT, f"{root}/archive", manifest, F.current_timestamp())
+    stored = c.spark.read.schema(f"{_ddl(findings)}, kind string, run string, due_month string").parquet(f"{root}/archive")
+    return stored.groupBy("due_month").agg(F.count(F.lit(1)).alias("rows")).select(
+        "due_month", "rows", F.lit(done["left"]).cast("long").alias("left_live"), F.lit(done["left"] + done["archived"]).cast("long").alias("rows_before"),
+    )
+
+
+def _ddl(df) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 _TOP_SQL = """
     SELECT table_id, CAST(rn AS INT) AS rank, id AS finding_id, column_name, pii_category, confidence
     FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY confidence DESC, id) AS rn
@@ -372,3 +397,72 @@ def _(c):
     raw = text_spans(c.table("documents"), ["doc_id"], "text", ["CREDIT_CARD"])
     found = checks.leaked_values(pages, "span", raw, "span")
     return found.agg(F.count(F.lit(1)).alias("leaked"))
+
+
+# ---- many known values at once ------------------------------------------------------------------
+
+_ALL_SPANS = " UNION ALL ".join(_spans_sql("documents", "doc_id", "text", category) for category in SPAN_SHAPES)
+_PAGE_SPANS = " UNION ALL ".join(_spans_sql("pages", "page_id", "html", category) for category in SPAN_SHAPES)
+_HELD_COLUMNS = {
+    "findings": ("pii_findings", {n: n for n in _LEAK_OUTPUTS["findings"]}),
+    "audit": ("audit_log", {n: n for n in ("id", "event_type", "table_id", "actor", "details_json")}),
+    "manual_requests": ("manual_requests", {n: n for n in ("request_id", "table_id", "action", "actor", "notes")}),
+    "ledger": ("dsar_searches", {n: n for n in ("search_id", "initiated_by", "identifier_type", "search_hash")}),
+    "candidates": ("scanner_events", {
+        "key": "event_id", "value": "concat_ws(' ', event_id, source_name, data_source_type, owner_email, bucket)"}),
+    "notices": (f"""(SELECT f.*, s.source_name, s.owner_email FROM pii_findings f JOIN ({_SOURCES_SQL}) s ON s.table_id = f.table_id
+                     WHERE f.flagged)""", {
+        "subject": "source_name", "table_id": "table_id", "owner_email": "owner_email",
+        "findings_json": "concat_ws(' ', column_name, pii_category, confidence)"}),
+    "planted": (f"""(SELECT concat('{{"n":', doc_id, ',"v":"', if(doc_id % 50 = 0, span, sha256(span)), '"}}') AS details_json
+                     FROM ({_ALL_SPANS}))""", {"details_json": "details_json"}),
+}
+
+
+def _held_sql() -> str:
+    texts = " UNION ALL ".join(
+        f"SELECT '{output}' AS output, '{name}' AS column_name, CAST({text} AS VARCHAR) AS text FROM {table}"
+        for output, (table, columns) in _HELD_COLUMNS.items() for name, text in columns.items()
+    )
+    return f"""
+        WITH texts AS ({texts}),
+        hit AS (SELECT DISTINCT t.text FROM (SELECT DISTINCT text FROM texts WHERE text IS NOT NULL) t
+                JOIN (SELECT DISTINCT span FROM ({_ALL_SPANS})) r ON contains(t.text, r.span))
+        SELECT output, column_name, count(*) FILTER (WHERE text IN (SELECT text FROM hit)) AS leaks
+        FROM texts GROUP BY 1, 2"""
+
+
+@query("held_values", _held_sql())
+def _(c):
+    """Rows of every metadata output that hold any raw value found in the documents; one output leaks on purpose."""
+    spans = text_spans(c.table("documents"), ["doc_id"], "text")
+    notices = governance.notice_payloads(c.pii_findings(), c.scanner_events(), "dpo@company.com", F.current_timestamp())
+    value = F.when(F.col("doc_id") % 50 == 0, F.col("span")).otherwise(F.sha2("span", 256))
+    outputs = {
+        "findings": c.pii_findings().select(*_HELD_COLUMNS["findings"][1]), "audit": c.audit_log().select(*_HELD_COLUMNS["audit"][1]),
+        "manual_requests": c.manual_requests().select(*_HELD_COLUMNS["manual_requests"][1]),
+        "ledger": c.dsar_searches().select(*_HELD_COLUMNS["ledger"][1]),
+        "candidates": ingest.candidate_messages(ingest.candidate_rows(
+            c.scanner_events().withColumn("file_format", F.lit(None).cast("string")))),
+        "notices": notices.select("subject", "table_id", "owner_email", "findings_json"),
+        "planted": spans.select(F.to_json(F.struct(F.col("doc_id").alias("n"), value.alias("v"))).alias("details_json")),
+    }
+    return value_index.held_values(outputs, spans.select("span"), "span").select("output", "column_name", "leaks")
+
+
+@query("values_in_texts", f"""
+    WITH texts AS (SELECT 'documents' AS table_name, text FROM documents UNION ALL SELECT 'pages', html FROM pages
+                   UNION ALL SELECT 'events', props FROM events)
+    SELECT sha256(span) AS value_hash, table_name, count(*) AS rows,
+           sum((len(text) - len(replace(text, span, ''))) // len(span))::BIGINT AS hits
+    FROM (SELECT DISTINCT span FROM ({_PAGE_SPANS})) JOIN texts ON contains(text, span) GROUP BY ALL""")
+def _(c):
+    """Where the values of the pages stand in all texts, in numbers of rows and places."""
+    spans = text_spans(c.table("pages"), ["page_id"], "html").select("span")
+    tables = (("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("events", "event_id", "props"))
+    texts = [c.table(t).select(F.lit(t).alias("table_name"), F.col(k).cast("string").alias("row"), F.col(x).alias("text")) for t, k, x in tables]
+    hits = value_index.value_hits(spans, "span", texts[0].unionByName(texts[1]).unionByName(texts[2]), ["table_name", "row"], "text")
+    rows = hits.groupBy("value", "table_name", "row").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(F.sha2("value", 256).alias("value_hash"), "table_name").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("n").alias("hits")
+    )

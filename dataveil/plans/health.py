@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dataveil.operators import health, limiter
-from dataveil.operators.order_stats import exact_quantiles
+from dataveil.operators import health, limiter, sketches
+from dataveil.operators.order_stats import exact_quantiles, from_ordered_bits, ordered_bits
 from dataveil.plans.registry import query
+from dataveil.session import fresh_path
 
 _BOUNDS = [5.0, 10.0, 25.0, 50.0, 75.0, 100.0, 150.0, 200.0, 300.0, 500.0]
 
@@ -77,19 +78,34 @@ def _(c):
 
 
 @query("latency_exact", """
-    SELECT event_type, count(*) AS n,
-           round(quantile_cont(CAST(round(value * 100) AS BIGINT), 0.5) / 100, 4) AS p50,
-           round(quantile_cont(CAST(round(value * 100) AS BIGINT), 0.95) / 100, 4) AS p95,
-           round(quantile_cont(CAST(round(value * 100) AS BIGINT), 0.99) / 100, 4) AS p99
+    SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50,
+           round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99
     FROM events GROUP BY 1""")
 def _(c):
-    # Latencies have two decimals, so hundredths are whole numbers.
-    cents = c.table("events").select(
-        "event_type", F.round(F.col("value") * 100).cast("long").alias("cents")
-    )
-    found = exact_quantiles(cents, "event_type", "cents", [0.5, 0.95, 0.99], bits=32)
-    return found.select("event_type", "n", *[
-        F.round(F.col(f"q{q}") / 100, 4).alias(f"p{q // 10}") for q in (500, 950, 990)
+    keys = c.table("events").select("event_type", ordered_bits(F.col("value")).alias("bits"))
+    found = exact_quantiles(keys, "event_type", "bits", [0.5, 0.95, 0.99], bits=64, decode=from_ordered_bits)
+    return found.select("event_type", "n", *[F.round(F.col(f"q{q}"), 6).alias(f"p{q // 10}") for q in (500, 950, 990)])
+
+
+@query("latency_windows_close", """
+    SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n,
+           true AS q500, true AS q950, true AS q990 FROM events GROUP BY 1, 2""")
+def _(c):
+    """Hourly quantiles merged from stored minute sketches; every one's true share lies within the sketch's bound."""
+    events, wanted = c.table("events"), (0.5, 0.95, 0.99)
+    path = fresh_path(c.spark, "minute-sketches")
+    minutes = sketches.step_sketches(events, "ts", "event_type", "value")
+    minutes.withColumn("day", F.to_date("step_start")).write.partitionBy("day").parquet(path)
+    hours = sketches.quantiles(sketches.merged(c.spark.read.parquet(path), "event_type", "1 hour"), list(wanted))
+    found = hours.withColumnsRenamed({f"q{round(p * 1000)}": f"_{i}" for i, p in enumerate(wanted)})
+    hour = F.window("ts", "1 hour")["start"].alias("window_start")
+    rows = events.select(hour, "event_type", "value").join(found, ["window_start", "event_type"])
+    counts = [F.count_if(F.col("value") < F.col(f"_{i}")).alias(f"below{i}") for i in range(3)]
+    counts += [F.count_if(F.col("value") <= F.col(f"_{i}")).alias(f"upto{i}") for i in range(3)]
+    slack = sketches.rank_error() * F.col("n") + 1
+    return rows.groupBy("window_start", "event_type", "n").agg(*counts).select("window_start", "event_type", "n", *[
+        ((F.col(f"below{i}") - slack <= p * F.col("n")) & (p * F.col("n") <= F.col(f"upto{i}") + slack)).alias(f"q{round(p * 1000)}")
+        for i, p in enumerate(wanted)
     ])
 
 
@@ -119,12 +135,15 @@ def _(c):
     )
 
 
-@query("failure_streak", """
+FAILURE_STREAK_SQL = """
     WITH f AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec, count(*) AS n
                FROM events WHERE event_type = 'error' GROUP BY 1, 2)
     SELECT a.user_id, a.sec, a.n, CAST(sum(b.n) AS BIGINT) AS failures
     FROM f a JOIN f b ON b.user_id = a.user_id AND b.sec BETWEEN a.sec - 172800 AND a.sec
-    GROUP BY 1, 2, 3 HAVING sum(b.n) >= 2""")
+    GROUP BY 1, 2, 3 HAVING sum(b.n) >= 2"""
+
+
+@query("failure_streak", FAILURE_STREAK_SQL)
 def _(c):
     return health.failure_streaks(c.table("events"), "user_id", "ts", _failed())
 
@@ -137,7 +156,7 @@ def _(c):
     return health.success_ratio(c.table("events"), "user_id", _failed())
 
 
-@query("alert_islands", """
+ALERT_ISLANDS_SQL = """
     WITH w AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, user_id % 4 AS shard,
                       count(*) FILTER (WHERE event_type = 'error') / count(*) AS ratio
                FROM events GROUP BY 1, 2),
@@ -146,7 +165,10 @@ def _(c):
           FROM w WHERE ratio > 0.2::DOUBLE)
     SELECT shard, min(window_start) AS island_start, max(window_start) AS island_end,
            count(*) AS windows
-    FROM r GROUP BY shard, run HAVING count(*) >= 2""")
+    FROM r GROUP BY shard, run HAVING count(*) >= 2"""
+
+
+@query("alert_islands", ALERT_ISLANDS_SQL)
 def _(c):
     events = c.table("events").withColumn("shard", F.col("user_id") % 4)
     return health.alert_islands(

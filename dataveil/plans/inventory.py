@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dataveil.operators import audit, inventory
+from dataveil.operators import audit, inventory, table_sets
 from dataveil.plans.registry import query
+from dataveil.session import fresh_path
 
 _NAMES = "['classified', 'flagged', 'remediated', 'quarantined']"
 # A finding's place in _NAMES; the table shows the furthest one.
@@ -324,3 +325,64 @@ def _(c):
     rows = audit.annotation_audit_rows(c.ropa_annotations())
     return rows.select("event_type", "table_id", "actor", "timestamp",
                        F.get_json_object("details_json", "$.legal_basis").alias("legal_basis"))
+
+
+# ---- sets of tables per day ---------------------------------------------------------------------
+
+def _daily_sets(c):
+    """Daily sets of findings and reports, stored by day as a job would leave them."""
+    findings, logged = c.pii_findings(), audit.manual_request_rows(c.manual_requests())
+    tables = findings.select("table_id").unionByName(logged.select("table_id"))
+    facts = table_sets.finding_facts(findings).unionByName(table_sets.reported_facts(logged))
+    path = fresh_path(c.spark, "daily-sets")
+    table_sets.daily_sets(facts, table_sets.table_numbers(tables)).write.partitionBy("day").parquet(path)
+    return c.spark.read.parquet(path)
+
+
+_DONE = "status IN ('remediated', 'quarantined')"
+_FACTS_SQL = f"""
+    SELECT created_at::DATE AS day, table_id, true AS seen, flagged, {_DONE} AS done, flagged AND NOT {_DONE} AS open, false AS reported,
+           CASE WHEN flagged THEN pii_category END AS category FROM pii_findings
+    UNION ALL SELECT requested_at::DATE, table_id, false, false, false, false, true, NULL FROM manual_requests WHERE action = 'false_positive'"""
+
+
+def _figures_sql(facts: str, key: str = "") -> str:
+    lead = f"{key}, " if key else ""
+    return f"""
+        SELECT *, if(total_flagged = 0, 100.0::DOUBLE, (remediated * 2000 + total_flagged) // (2 * total_flagged) / 10.0::DOUBLE) AS compliance_score,
+               if(total_flagged = 0, 0.0::DOUBLE, (false_positive_tables * 2000 + total_flagged) // (2 * total_flagged) / 10.0::DOUBLE) AS false_positive_pct
+        FROM (SELECT {lead}count(*) FILTER (WHERE seen) AS tables, count(*) FILTER (WHERE flagged) AS total_flagged,
+                     count(*) FILTER (WHERE done) AS remediated, count(*) FILTER (WHERE open) AS pending_review,
+                     count(*) FILTER (WHERE flagged AND NOT done) AS never_remediated, count(*) FILTER (WHERE reported) AS false_positive_tables
+              FROM (SELECT {lead}table_id, bool_or(seen) AS seen, bool_or(flagged) AS flagged, bool_or(done) AS done,
+                           bool_or(open) AS open, bool_or(reported) AS reported FROM ({facts}) GROUP BY ALL)
+              {'GROUP BY ALL' if key else ''})"""
+
+
+_PERIOD = "day BETWEEN DATE '2024-01-08' AND DATE '2024-01-21'"
+
+
+@query("kpi_period", _figures_sql(f"SELECT * FROM ({_FACTS_SQL}) WHERE {_PERIOD}"))
+def _(c):
+    return table_sets.key_figures(table_sets.period_sets(_daily_sets(c), "2024-01-08", "2024-01-21"))
+
+
+@query("kpi_from_sets", KPI_SQL)
+def _(c):
+    figures = table_sets.key_figures(table_sets.period_sets(_daily_sets(c)))
+    return figures.select("total_flagged", "remediated", "pending_review", "compliance_score")
+
+
+@query("kpi_rolling", _figures_sql(f"""
+    SELECT *, unnest(generate_series((day + ((7 - isodow(day)) % 7)::INT)::TIMESTAMP, (day + 27)::TIMESTAMP, INTERVAL 7 DAY))::DATE AS period_end
+    FROM ({_FACTS_SQL})""", "period_end"))
+def _(c):
+    return table_sets.rolling_figures(_daily_sets(c))
+
+
+@query("dsar_counts_period", f"""
+    SELECT count(DISTINCT table_id) FILTER (WHERE seen) AS tables_searched_count,
+           count(DISTINCT table_id) FILTER (WHERE category = 'EMAIL') AS tables_matched_count
+    FROM ({_FACTS_SQL}) WHERE {_PERIOD}""")
+def _(c):
+    return table_sets.matched_tables(table_sets.period_sets(_daily_sets(c), "2024-01-08", "2024-01-21"), "EMAIL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dataveil.functions.vocab import CHILD_KEYWORDS
-from dataveil.operators import ingest, lineage
+from dataveil.operators import ingest, lineage, reach
 from dataveil.plans.events import FILE_SQL
 from dataveil.plans.governance import _SOURCES_SQL
 from dataveil.plans.inventory import FURTHEST, sorted_labels
@@ -41,7 +41,7 @@ def _(c):
 _CHILD_LIKE = "(" + " OR ".join(f"lower({{0}}) LIKE '%{k}%'" for k in CHILD_KEYWORDS) + ")"
 
 
-@query("lineage_infer", f"""
+_INFER_SQL = f"""
     WITH o AS (
         SELECT DISTINCT s.table_id, {_CHILD_LIKE.format('s.source_name')} AS kind
         FROM ({_SOURCES_SQL}) s JOIN pii_findings f ON f.table_id = s.table_id AND f.flagged),
@@ -51,13 +51,25 @@ _CHILD_LIKE = "(" + " OR ".join(f"lower({{0}}) LIKE '%{k}%'" for k in CHILD_KEYW
           FROM o, this WHERE o.table_id <> this.table_id AND o.kind <> this.kind)
     SELECT *, 0.6::DOUBLE AS confidence, 'path_heuristic' AS inference_method FROM e
     WHERE NOT EXISTS (SELECT 1 FROM lineage_edges x WHERE x.parent_table_id = e.parent_table_id
-                        AND x.child_table_id = e.child_table_id)""")
+                        AND x.child_table_id = e.child_table_id)"""
+
+
+@query("lineage_infer", _INFER_SQL)
 def _(c):
     return lineage.infer_path_edges(
         c.pii_findings(), c.scanner_events(), c.lineage_edges(), "tbl-1"
     )
 
 
+@query("lineage_inferred_audit", f"""
+    SELECT 'lineage_inferred' AS event_type, 'tbl-1' AS table_id, 'dpo@company.com' AS actor, {NOW} AS "timestamp",
+           '{{"method":"path_heuristic","edges_created":' || count(*) || '}}' AS details_json
+    FROM ({_INFER_SQL})""")
+def _(c):
+    edges = lineage.infer_path_edges(c.pii_findings(), c.scanner_events(), c.lineage_edges(), "tbl-1")
+    return lineage.inferred_audit(edges, "tbl-1", "dpo@company.com", F.lit(AS_OF).cast("timestamp_ntz")).drop("id")
+
+
 @query("lineage_cascade", f"""
     SELECT 'cascade_review_queued' AS event_type, child_table_id AS table_id,
            'dpo@company.com' AS actor, {NOW} AS "timestamp",
@@ -157,3 +169,20 @@ def _(c):
                            "AS total_estimated_records FROM (SELECT r.node AS table_id") + ")")
 def _(c):
     return lineage.impact_total(_impact(c))
+
+
+@query("impact_all", """
+    WITH RECURSIVE walk AS (
+        SELECT node AS origin, node, 0 AS hop, side FROM (
+            SELECT parent_table_id AS node FROM lineage_edges UNION SELECT child_table_id FROM lineage_edges), (SELECT unnest([0, 1]) AS side)
+        UNION SELECT w.origin, if(side = 0, e.child_table_id, e.parent_table_id), w.hop + 1, w.side
+        FROM walk w JOIN lineage_edges e ON if(side = 0, e.parent_table_id, e.child_table_id) = w.node WHERE w.hop < 5),
+    least AS (SELECT origin, node, side, min(hop) AS hops FROM walk GROUP BY ALL),
+    sides AS (SELECT origin, node, bool_or(side = 1 AND hops > 0) AS up, bool_or(side = 0 AND hops > 0) AS down FROM least GROUP BY ALL),
+    sizes AS (SELECT f.table_id, e.estimated_row_count AS rows
+              FROM (SELECT table_id, min(scanner_event_id) AS id FROM pii_findings GROUP BY 1) f JOIN scanner_events e ON e.id = f.id)
+    SELECT origin, count(*) FILTER (WHERE up) AS ancestors, count(*) FILTER (WHERE down) AS descendants, count(*) AS tables,
+           coalesce(sum(rows), 0)::BIGINT AS total_estimated_records
+    FROM sides LEFT JOIN sizes ON sizes.table_id = sides.node GROUP BY 1""")
+def _(c):
+    return reach.impact_of_all(c.lineage_edges(), c.pii_findings(), c.scanner_events())

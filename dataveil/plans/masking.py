@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dataveil.functions.detect import SPAN_SHAPES, luhn_valid, text_spans
 from dataveil.functions.masks import mask, mask_table
+from dataveil.functions.spans import RULES, register_spans, sensitive_spans
 from dataveil.functions.synthetic import labelled_rows
 from dataveil.functions.vocab import LABELS, REDACTED
 from dataveil.plans.classification import SYNTHETIC_SQL
@@ -194,3 +195,46 @@ def luhn_sql(v: str) -> str:
 def _(c):
     spans = text_spans(c.table("documents"), ["doc_id"], "text", ["CREDIT_CARD"])
     return spans.select("doc_id", "position", luhn_valid(F.col("span")).alias("valid"))
+
+
+# ---- spans of all categories --------------------------------------------------------------------
+
+def _account_sql(v: str) -> str:
+    signs = f"list_transform(string_split(substr({v}, 5) || substr({v}, 1, 4), ''), lambda s: ascii(s))"
+    step = "CASE WHEN x < 58 THEN a * 10 + x - 48 ELSE a * 100 + x - 55 END % 97"
+    return f"list_reduce(list_prepend(0, {signs}), lambda a, x: ({step})) = 1"
+
+
+_CHECKS = {
+    "luhn": luhn_sql, "account": _account_sql,
+    "dialled": lambda v: f"length(regexp_replace({v}, '[^0-9]', '', 'g')) BETWEEN 8 AND 15", None: lambda v: "true",
+}
+
+
+def all_spans_sql(table: str, key: str, text: str) -> str:
+    """Every category's spans, numbered over its rules in turn."""
+    parts = []
+    for category, rules in RULES.items():
+        lists = []
+        for run, shape, check in rules:
+            whole = f"regexp_matches(v, '{shape}')" if shape else "true"
+            lists.append(f"list_filter(regexp_extract_all({text}, '{run}'), lambda v: CASE WHEN {whole} THEN {_CHECKS[check]('v')} ELSE false END)")
+        found = " || ".join(lists)
+        parts.append(f"""SELECT {key}, '{category}' AS category, CAST(unnest(range(len(found))) AS INT) AS position, unnest(found) AS span
+                         FROM (SELECT {key}, {found} AS found FROM {table} WHERE {text} IS NOT NULL)""")
+    return " UNION ALL ".join(parts)
+
+
+@query("sensitive_spans", f"SELECT doc_id, category, position, sha256(span) AS span_hash FROM ({all_spans_sql('documents', 'doc_id', 'text')})")
+def _(c):
+    return sensitive_spans(c.table("documents"), ["doc_id"], "text").select("doc_id", "category", "position", F.sha2("span", 256).alias("span_hash"))
+
+
+@query("sensitive_spans_in_sql", f"""
+    SELECT category, count(*) AS spans, count(DISTINCT page_id) AS pages FROM ({all_spans_sql('pages', 'page_id', 'html')}) GROUP BY 1""")
+def _(c):
+    name = register_spans(c.spark)
+    c.table("pages").createOrReplaceTempView("_pages_with_spans")
+    return c.spark.sql(f"""
+        SELECT s.category, count(*) AS spans, count(DISTINCT p.page_id) AS pages
+        FROM _pages_with_spans p, LATERAL {name}(p.html) s GROUP BY s.category""")

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataveil.operators import ingest
-from dataveil.plans.health import RATE_LIMITED_SQL
+from dataveil.plans.compliance import TREND_SQL
+from dataveil.plans.health import ALERT_ISLANDS_SQL, FAILURE_STREAK_SQL, RATE_LIMITED_SQL
+from dataveil.plans.inventory import KPI_SQL
 from dataveil.plans.registry import query
 from dataveil.session import fresh_path
-from dataveil.streaming import limiter, rollup
+from dataveil.sources.control import AS_OF
+from dataveil.streaming import alerts, limiter, rollup, trend
 from dataveil.streaming.ingest import run_ingest, stored_events
 
 
@@ -65,3 +68,66 @@ def _(c):
     return stored_events(c.spark, root, schema).select(
         "event_id", "source_name", "data_source_type", "column_count", "created_at"
     )
+
+
+def _trend_root(c) -> str:
+    """Findings as a stream of versions in several batches: a first guess and the final state, in no order."""
+    root, path = fresh_path(c.spark, "trend"), fresh_path(c.spark, "finding-changes")
+    findings = c.pii_findings().select("id", "table_id", "created_at", "flagged", "status", "pii_category")
+    guess = findings.withColumns({"flagged": F.col("pii_category") != "NONE", "status": F.lit("classified"), "version": F.lit(0)})
+    changes = guess.unionByName(findings.withColumn("version", F.lit(1))).drop("pii_category")
+    for part in range(3):
+        changes.where(F.pmod(F.xxhash64("id", "version"), F.lit(3)) == part).write.mode("append").parquet(path)
+        trend.run_trend(c.spark.readStream.schema(changes.schema).parquet(path), root)
+    return root
+
+
+@query("trend_kept", TREND_SQL)
+def _(c):
+    return trend.kept_trend(c.spark, _trend_root(c), AS_OF)
+
+
+@query("totals_kept", f"SELECT total_flagged, remediated, compliance_score FROM ({KPI_SQL})")
+def _(c):
+    return trend.kept_totals(c.spark, _trend_root(c))
+
+
+def _in_time_order(c, run) -> DataFrame:
+    """Events handed to *run* in three parts by time, then a last row much later, which lets every window close."""
+    path, events = fresh_path(c.spark, "timed-events"), c.table("events").select("event_id", "ts", "user_id", "event_type")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) * k / 3 for k in (1, 2)]
+    late = events.sparkSession.range(1).select(
+        F.lit(-1).cast("long").alias("event_id"), (F.lit(last) + F.expr("INTERVAL 30 DAYS")).cast("timestamp_ntz").alias("ts"),
+        F.lit(None).cast(events.schema["user_id"].dataType).alias("user_id"), F.lit("error").alias("event_type"),
+    )
+    found = None
+    for part in (events.where(F.col("ts") < cuts[0]), events.where((F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1])),
+                 events.where(F.col("ts") >= cuts[1]), late):
+        part.write.mode("append").parquet(path)
+        found = run(c.spark.readStream.schema(events.schema).parquet(path))
+    return found
+
+
+def _instant(micros: str):
+    return F.timestamp_micros(micros).cast("timestamp_ntz")
+
+
+@query("stream_alert_islands", ALERT_ISLANDS_SQL)
+def _(c):
+    root = fresh_path(c.spark, "alerts")
+    found = _in_time_order(c, lambda stream: alerts.run_period_alerts(
+        stream.withColumn("shard", F.col("user_id") % 4), "ts", "shard", F.col("event_type") == "error", root,
+        limit=0.2, window_seconds=3600, hold=2,
+    ))
+    over = found.where("kind = 'resolved' and key is not null")
+    return over.select(F.col("key").cast("long").alias("shard"), _instant("start").alias("island_start"), _instant("end").alias("island_end"), "windows")
+
+
+@query("stream_failure_streak", FAILURE_STREAK_SQL)
+def _(c):
+    root = fresh_path(c.spark, "streaks")
+    found = _in_time_order(c, lambda stream: alerts.run_streak_alerts(stream, "ts", "user_id", F.col("event_type") == "error", root))
+    kind = c.table("events").schema["user_id"].dataType
+    return found.where("kind = 'streak' and key is not null").select(
+        F.col("key").cast(kind).alias("user_id"), F.floor(F.col("start") / 1_000_000).alias("sec"), "n", F.col("windows").alias("failures"))

@@ -48,6 +48,21 @@ def plan_moves(files: DataFrame, source_prefix: str, root: str, table_id: str) -
     return moves
 
 
+def plan_expiry(files: DataFrame, expired: DataFrame) -> DataFrame:
+    """Source, size and target of every listed file that lies below a path of *expired* (quarantine_path, expired_path).
+
+    A file meets its table by the folder's path, so all tables are one join; other files are left out.
+    """
+    tables = expired.select(
+        F.regexp_replace(one_spelling(F.col("quarantine_path")), "/+$", "").alias("folder"), F.regexp_replace("expired_path", "/+$", "").alias("to")
+    )
+    own = files.select("path", "bytes", one_spelling(F.col("path")).alias("own"))
+    above = own.select("*", F.explode(F.sequence(F.lit(1), F.size(F.split("own", "/")) - 1)).alias("depth"))
+    return above.withColumn("folder", F.expr("substring_index(own, '/', depth)")).join(tables, "folder").select(
+        "path", "bytes", F.concat("to", F.substring(F.col("own"), F.length("folder") + 1, F.length("own"))).alias("target")
+    )
+
+
 def _filesystem(uri: str):
     """Filesystem and path of a URI as Spark writes it (``file:/x`` has one slash)."""
     from pyarrow import fs

@@ -19,11 +19,20 @@ _KINDS: dict[str, tuple[Callable, Callable]] = {
 }
 
 
-def ingest_batch(messages: DataFrame, kind: str, root: str, batch_id: int) -> None:
-    """Store one batch: scan events whose id is new, their candidates, and dead letters."""
+def ingest_batch(
+    messages: DataFrame, kind: str, root: str, batch_id: int, publish: Callable[[DataFrame, int], None] | None = None,
+) -> None:
+    """Store one batch: scan events whose id is new, their candidates, and dead letters.
+
+    The batch is parsed once. *publish* gets the stored candidates (key, value) and the batch's number;
+    a batch that is repeated publishes the same messages again.
+    """
     parse, normalise = _KINDS[kind]
     spark = messages.sparkSession
-    parsed = parse(messages)
+    path = f"{root}/parsed/batch={batch_id}"
+    made = parse(messages)
+    made.write.mode("overwrite").parquet(path)
+    parsed = spark.read.schema(made.schema).parquet(path)
     events = normalise(parsed)
     once = first_per_key(events, ["event_id"], ["created_at", "raw_event"])
     stored = read_batches(spark, root, "scanner_events", events.schema)
@@ -33,12 +42,14 @@ def ingest_batch(messages: DataFrame, kind: str, root: str, batch_id: int) -> No
     written = spark.read.schema(events.schema).parquet(f"{root}/scanner_events/batch={batch_id}")
     write_batch(candidate_messages(candidate_rows(written)), root, "candidates", batch_id)
     write_batch(dead_letters(parsed), root, "dead_letters", batch_id)
+    if publish is not None:
+        publish(spark.read.parquet(f"{root}/candidates/batch={batch_id}"), batch_id)
 
 
-def run_ingest(messages: DataFrame, kind: str, root: str) -> None:
+def run_ingest(messages: DataFrame, kind: str, root: str, publish: Callable[[DataFrame, int], None] | None = None) -> None:
     """Drain a message stream (value, ts) into *root*; its checkpoint lives there too."""
     writer = messages.writeStream.foreachBatch(
-        lambda batch, batch_id: ingest_batch(batch, kind, root, batch_id)
+        lambda batch, batch_id: ingest_batch(batch, kind, root, batch_id, publish)
     )
     run_available(writer, f"{root}/_checkpoint")
 

@@ -351,10 +351,11 @@ def test_report(spark, tmp_path):
 class _NoFolder:
     """A session whose cluster names no checkpoint folder."""
 
-    def __init__(self, spark, directory):
+    def __init__(self, directory, master):
         self.sparkContext = self
         self.conf = self
         self.directory = directory
+        self.master = master
 
     def get(self, key, default=None):
         return default
@@ -371,9 +372,13 @@ def test_shared_root(spark):
 
     assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
     assert fresh_path(spark, "x") != fresh_path(spark, "x")
-    bare = _NoFolder(spark, None)
+    bare = _NoFolder(None, "local[2]")
     first = shared_root(bare)
     assert os.path.isdir(first) and shared_root(bare) == first
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="all executors share"):
+            shared_root(_NoFolder(None, master))
+        assert shared_root(_NoFolder("hdfs://x/checkpoints", master)) == "hdfs://x/checkpoints"
     assert cut_lineage(spark.range(3)).count() == 3
 
 
