@@ -217,8 +217,8 @@ def test_pii_proposals_overlap(spark):
 def test_pii_overlaps_are_resolved_by_score(spark):
     spans = [(0.6, "iban", 0, 20), (0.9, "phone", 15, 30), (0.7, "card", 28, 50), (0.6, "id", 0, 10), (0.9, "phone", 15, 25)]
     table = spark.createDataFrame([(spans,), ([],)], "s array<struct<score:double,kind:string,start:int,end:int>>")
-    got = [[(c.kind, c.start, c.end) for c in r.kept] for r in table.select(pii._apart(table["s"]).alias("kept")).collect()]
-    assert sorted(got) == [[], [("phone", 15, 30), ("id", 0, 10)]]
+    got = [sorted((c.kind, c.start, c.end) for c in r.apart) for r in pii._with_apart(table, "s").collect()]
+    assert sorted(got) == [[], [("id", 0, 10), ("phone", 15, 30)]]
 
 
 def test_secret_base_spans(spark, rows):
