@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dataveil.functions.vocab import EXTENSION_FORMATS, LEGAL_TRANSITIONS, SOURCE_TYPES
-from dataveil.operators import ingest, state
+from dataveil.operators import ingest, payload, state
 from dataveil.plans.oracle import sql_list
 from dataveil.plans.registry import query
+from dataveil.session import fresh_path
+from dataveil.sources.writers import KeyedTable
 
 _TYPE_LIST = ", ".join(f"'{t}'" for t in SOURCE_TYPES)
 
@@ -242,3 +244,45 @@ def _(c):
     return state.apply_transitions(c.pii_findings(), log).groupBy("status").agg(
         F.count(F.lit(1)).alias("n")
     )
+
+
+# ---- payloads by path, history by key -----------------------------------------------------------
+
+def _stored_payloads(c, raw):
+    """Messages as a job would keep them: parsed once."""
+    path = fresh_path(c.spark, "payloads")
+    payload.with_payload(raw.select("offset", "ts", "value")).write.parquet(path)
+    return c.spark.read.parquet(path)
+
+
+@query("payload_table_events", """
+    SELECT "offset", j->>'$.event_id' AS event_id, j->>'$.database_name' AS database_name,
+           j->>'$.data_source_type' AS data_source_type, CAST(j->>'$.column_count' AS INT) AS column_count
+    FROM (SELECT "offset", value::JSON AS j FROM raw_table_events WHERE json_valid(value))""")
+def _(c):
+    good, _ = payload.split_malformed(_stored_payloads(c, c.raw_table_events()))
+    return good.select("offset", *payload.fields(payload.TABLE_EVENT))
+
+
+@query("payload_dead_letters", """SELECT "offset", value AS malformed FROM raw_table_events WHERE NOT json_valid(value)""")
+def _(c):
+    _, bad = payload.split_malformed(_stored_payloads(c, c.raw_table_events()))
+    return bad.select("offset", "malformed")
+
+
+@query("payload_copy_sources", """
+    SELECT "offset", coalesce(j->>'$.detail.CopySource', j->>'$.CopySource') AS copy_source
+    FROM (SELECT "offset", value::JSON AS j FROM raw_file_events)""")
+def _(c):
+    return payload.copy_sources(_stored_payloads(c, c.raw_file_events())).select("offset", "copy_source")
+
+
+@query("keyed_history", "SELECT event_id, user_id, event_type FROM events")
+def _(c):
+    """Three appends that overlap, the last one of few rows; every event is stored once."""
+    events = c.table("events").select("event_id", "user_id", "event_type")
+    path = fresh_path(c.spark, "keyed")
+    table = KeyedTable(c.spark, f"keyed_{path.rsplit('-', 1)[1]}", path, events.schema, "event_id", 16)
+    for part in (events.where("event_id % 3 <> 0"), events.where("event_id % 2 = 0"), events.where("event_id % 100 = 3"), events):
+        table.append(part)
+    return table.read()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dataveil.operators.state import absent_rows, first_per_key
+from dataveil.session import fresh_path
 
 
 class AppendOnlyTable:
@@ -46,6 +47,52 @@ class AppendOnlyTable:
         return count.get["n"]
 
 
+class KeyedTable:
+    """An append-only table whose history is stored by key: the first row of a key wins.
+
+    Rows lie in buckets of their key, so an append is joined with the history bucket by bucket and the
+    history is never shuffled; an append of few rows names its keys and reads their buckets only. One
+    writer at a time; a repeated append adds nothing twice. The definition is made anew for a session
+    whose catalog does not know it, the files below *path* are what is kept.
+    """
+
+    #: So many keys are named in a filter; more are joined with all buckets.
+    FEW = 2_000
+
+    def __init__(self, spark: SparkSession, name: str, path: str, schema: T.StructType, key: str, buckets: int = 64):
+        self.spark, self.name, self.schema, self.key, self.buckets = spark, name, schema, key, buckets
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+            f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'"
+        )
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def fresh_rows(self, rows: DataFrame, few: list | None = None) -> DataFrame:
+        """The rows whose key is not stored, dealt as the table is; *few* are their keys."""
+        known = self.read().select(self.key)
+        if few is not None:
+            known = known.where(F.col(self.key).isin(few))
+        return rows.repartition(self.buckets, self.key).join(known, self.key, "left_anti")
+
+    def append(self, rows: DataFrame, order: list[str] | None = None) -> int:
+        """Store the rows whose key is new, nulls excepted, and return how many there were."""
+        typed = rows.select(*[
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema.fields
+        ]).where(F.col(self.key).isNotNull())
+        path = fresh_path(self.spark, "keyed-rows")
+        first_per_key(typed, [self.key], order or [self.key]).write.parquet(path)
+        once = self.spark.read.schema(self.schema).parquet(path)
+        few = [r[0] for r in once.select(self.key).collect()] if once.count() <= self.FEW else None
+        count = Observation()
+        fresh = self.fresh_rows(once, few).observe(count, F.count(F.lit(1)).alias("n"))
+        fresh.select(*self.schema.fieldNames()).write.insertInto(self.name)
+        self.spark.catalog.refreshTable(self.name)
+        return count.get["n"]
+
+
 class VersionedTable:
     """A table replaced as a whole: write a new version, then point to it.
 

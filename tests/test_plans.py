@@ -9,8 +9,8 @@ from dataveil.plans import QUERIES
 
 # These run jobs while they are built.
 JOBS = {q for q in QUERIES if q.startswith("stream")} | {"train_classifier", "train_classifier_target"}
-# One mapInArrow walk in time order, which no expression can state.
-PYTHON = {"rate_limited"}
+# A walk in time order and the pooling of neighbours, which no expression can state.
+PYTHON = {"rate_limited", "calibrated_confidence", "calibrated_flags"}
 
 
 @pytest.fixture(scope="module")
