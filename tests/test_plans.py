@@ -8,7 +8,9 @@ from conftest import SF
 from dataveil.plans import QUERIES
 
 # These run jobs while they are built.
-JOBS = {q for q in QUERIES if q.startswith("stream")} | {"train_classifier", "train_classifier_target"}
+JOBS = {q for q in QUERIES if q.startswith("stream")} | {
+    "train_classifier", "train_classifier_target", "trend_kept", "totals_kept", "classification_job", "archive_run", "keyed_history",
+}
 # A walk in time order and the pooling of neighbours, which no expression can state.
 PYTHON = {"rate_limited", "calibrated_confidence", "calibrated_flags"}
 
