@@ -33,9 +33,13 @@ def archive(
     before that finds them all again, one that has finished finds none and changes nothing.
     """
     run_key = f"archive:{kind}:{as_of}"
-    known = manifest.read().where((F.col("kind") == kind) & (F.col("run") == as_of))
+
+    def told(skipped: bool) -> dict:
+        own = manifest.read().where((F.col("kind") == kind) & (F.col("run") == as_of))
+        return {"archived": own.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], "left": live.read().count(), "skipped": skipped}
+
     if live.has_run(run_key):
-        return {"archived": known.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], "left": live.read().count(), "skipped": True}
+        return told(True)
     marked = due_rows(live.read(), kind, created, as_of)
     path = f"{root.rstrip('/')}/kind={kind}/run={as_of.replace(':', '-').replace(' ', '_')}"
     marked.where("due_month is not null").write.mode("overwrite").partitionBy("due_month").parquet(path)
@@ -45,4 +49,4 @@ def archive(
         F.lit(as_of).alias("run"), "rows", at.alias("archived_at"),
     ), few=True)
     live.write(marked.where("due_month is null").drop("due_month"), run_key=run_key)
-    return {"archived": known.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], "left": live.read().count(), "skipped": False}
+    return told(False)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dataveil.functions import spans
+from dataveil.functions.vocab import SOURCE_TYPES
 from dataveil.operators import archive, calibrate, governance, lineage, payload, reach, remediate, scan
 from dataveil.schemas import AUDIT_LOG, PII_FINDINGS, TRANSITIONS
 from dataveil.session import fresh_path
@@ -73,8 +74,9 @@ def test_spans_of_all_categories(spark):
 
 
 def test_long_texts_are_read_in_linear_time(spark):
-    for text in ("a" * 300_000, "1" * 300_000, "0 0 0 1 " * 40_000, "+1 " * 100_000, "Ab " * 100_000):
-        assert spans.sensitive_spans(spark.createDataFrame([(text,)], "text string"), [], "text").count() >= 0
+    texts = ("a" * 200_000 + "@", "1" * 200_000, "0 0 0 1 " * 25_000, "+1 " * 60_000, "7 Ab " * 40_000, "1.1." * 50_000)
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert spans.sensitive_spans(rows, [], "text").count() >= 0
 
 
 # ---- calibration ------------------------------------------------------------------------------
@@ -163,7 +165,7 @@ def test_sweep_moves_all_tables_in_one_job(spark, tmp_path, monkeypatch):
 def test_topic_to_topic(spark):
     """The ingest job between a source and a sink, files in place of a broker."""
     source, sink, root = (fresh_path(spark, n) for n in ("topic-in", "topic-out", "ingest"))
-    good = ['{"event_id":"e%d","table_name":"t","database_name":"db","data_source_type":"postgres","column_count":3}' % i for i in (1, 2, 2)]
+    good = ['{"event_id":"e%d","table_name":"t","database_name":"db","data_source_type":"%s","column_count":3}' % (i, SOURCE_TYPES[0]) for i in (1, 2, 2)]
     rows = [(None, m.encode(), "t", 0, i, dt.datetime(2024, 1, 1), 0) for i, m in enumerate([*good, "broken"])]
     spark.createDataFrame(rows, kafka.RECORD).write.parquet(source)
     for _ in range(2):
