@@ -107,15 +107,17 @@ def cascade_review(
 def copy_edges(file_events: DataFrame) -> DataFrame:
     """Edges from recorded copies: the copy source is the name of another event's source.
 
-    Sources may be written many times; each side is folded to one row per name first.
+    Sources may be written many times; each side is folded to one row per name first. There may be as
+    many names as events, while the estimate made from the files' size can be a hundred times too
+    small, so both joins are merged: neither side is ever broadcast.
     """
     by_name = file_events.groupBy("source_name").agg(F.min("event_id").alias("event_id"))
     copies = file_events.where(F.col("copy_source").isNotNull()).groupBy(
         "copy_source", "source_name"
     ).agg(F.count(F.lit(1)).alias("n"))
     parents = by_name.select(F.col("source_name").alias("copy_source"),
-                             F.col("event_id").alias("parent_event_id"))
-    children = by_name.select("source_name", F.col("event_id").alias("child_event_id"))
+                             F.col("event_id").alias("parent_event_id")).hint("merge")
+    children = by_name.select("source_name", F.col("event_id").alias("child_event_id")).hint("merge")
     return copies.join(parents, "copy_source").join(children, "source_name").select(
         F.col("copy_source").alias("parent_source"), F.col("source_name").alias("child_source"),
         "parent_event_id", "child_event_id",

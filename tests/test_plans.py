@@ -63,3 +63,8 @@ def test_scans_are_pruned(plans):
 def test_filters_reach_the_scan(plans):
     assert "EqualTo(event_type,error)" in plans["failure_streak"]
     assert "EqualTo(event_type,click)" in plans["manual_requests"]
+
+
+def test_copies_are_not_broadcast(plans):
+    """The names of all files are estimated from the parquet files, far below what they are."""
+    assert "Broadcast" not in plans["lineage_copies"]
