@@ -273,3 +273,19 @@ def test_trained_model_scores(spark):
     row = scored.first()
     assert [s["label"] for s in row["scores"]] == LABELS
     assert sum(s["score"] for s in row["scores"]) == pytest.approx(1.0)
+
+
+def test_labelled_rows_are_spread_and_compiled(spark):
+    """Keys of one block go to tasks of a bounded number of keys, and no method is too long to be compiled."""
+    from dataveil.functions import synthetic
+
+    keys = spark.range(0, 2 * synthetic.KEYS_PER_TASK + 1, 1, 1).withColumnRenamed("id", "c_custkey")
+    assert labelled_rows(keys, "c_custkey").rdd.getNumPartitions() == 3
+    few = keys.where("c_custkey < 1000")
+    assert labelled_rows(few, "c_custkey").rdd.getNumPartitions() == 1
+    spread = labelled_rows(keys, "c_custkey").where("key < 1000")
+    assert spread.exceptAll(labelled_rows(few, "c_custkey")).count() == 0 and spread.count() == 10_000
+    debug = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$")
+    codes = debug.codegenStringSeq(labelled_rows(few, "c_custkey")._jdf.queryExecution().executedPlan())
+    sizes = [codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())]
+    assert sizes and max(sizes) < 8000
