@@ -142,6 +142,20 @@ def table_profiles(
     )
 
 
+def _agreements(sets: DataFrame) -> DataFrame:
+    """A row per two of the ``differ + 2`` parts of a set; sets that agree in both have the same ``entry``."""
+    last = F.col("differ") + 1
+    parts = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.xxhash64(F.filter("hashes", lambda h: F.pmod(h, last + 1) == i)),
+    )
+    two = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(
+        F.sequence(i + 1, last),
+        lambda j: F.xxhash64("differ", i, j, F.get("parts", i), F.get("parts", j)),
+    )))
+    return sets.withColumn("parts", parts).select("tokens", "oldest", "size", F.explode(two).alias("entry"))
+
+
 def similarity_edges(profiles: DataFrame, percent: int = 80) -> DataFrame:
     """Tables whose profiles have a Jaccard similarity of at least *percent*.
 
@@ -149,10 +163,11 @@ def similarity_edges(profiles: DataFrame, percent: int = 80) -> DataFrame:
 
     * Tables with equal profiles are one group. Its oldest table stands for it and is the parent
       of each other member (``same_profile``), so a group of n copies gives n - 1 edges.
-    * Groups are compared with each other through a prefix filter: with tokens ordered from rare
-      to frequent, two sets that similar share a token among the first
-      ``size - ceil(percent * size) + 1`` of each. Every such pair gives one edge between the
-      groups' oldest tables (``similar_profile``), from the older to the younger.
+    * Groups are compared where they agree in two parts: two sets that similar differ in at most
+      ``d = size * (100 - percent) / percent`` tokens, *size* being the smaller one's, so of d + 2
+      parts by the tokens' hash at least two hold the same tokens. Few sets agree in whole parts,
+      also where tokens are few and each is in many sets. Every such pair gives one edge between
+      the groups' oldest tables (``similar_profile``), from the older to the younger.
     """
     # One row per table, far less than the findings it is folded from, and read several times.
     profiles = cut_lineage(
@@ -172,54 +187,46 @@ def similarity_edges(profiles: DataFrame, percent: int = 80) -> DataFrame:
         F.lit(1.0).alias("jaccard"), F.lit("same_profile").alias("relation"),
     )
 
-    tokens = groups.select("profile", F.explode("tokens").alias("token"))
-    frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
-    ranked = tokens.join(frequency, "token").groupBy("profile").agg(
-        F.sort_array(F.collect_list(F.struct("freq", F.xxhash64("token").alias("token"))))
-        .alias("by_freq")
-    )
-    kept = F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)) + 1
-    prefixed = groups.join(ranked, "profile").select(
-        "tokens", "oldest", "size",
-        F.slice("by_freq.token", F.lit(1), kept.cast("int")).alias("prefix"),
-    )
-    entries = prefixed.select("*", F.posexplode("prefix").alias("position", "entry"))
-
-    # A token that many groups share is split: the left side into parts of about a thousand rows,
-    # each of which meets a copy of the right side.
-    blocks = entries.groupBy("entry").agg(
+    def differing(size: Column) -> Column:
+        return F.floor(size * (100 - percent) / F.lit(percent)).cast("int")
+
+    # The smaller set of a pair says into how many parts both are cut; a set of which nothing may
+    # differ has no partner but its equals.
+    size = F.col("size")
+    hashed = groups.select(
+        "tokens", "oldest", "size", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
+    small = _agreements(hashed.withColumn("differ", differing(size)).where("differ > 0"))
+    least = F.greatest(F.lit(1), differing(F.ceil(size * percent / F.lit(100))))
+    large = _agreements(hashed.where(differing(size) > 0).withColumn(
+        "differ", F.explode(F.sequence(least, differing(size)))))
+
+    # An agreement that many groups share is split: the left side into parts of about a thousand
+    # rows, each of which meets a copy of the right side.
+    blocks = small.groupBy("entry").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(_BLOCK_ROWS)).cast("int").alias("parts")
     )
     tasks = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sized = entries.join(blocks, "entry")
-    left = sized.withColumn("part", F.pmod(F.xxhash64("oldest"), "parts").cast("int"))
-    right = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = small.join(blocks, "entry").withColumn("part", F.pmod(F.xxhash64("oldest"), "parts").cast("int"))
+    right = large.join(blocks, "entry").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     a = left.repartition(tasks, "entry", "part").alias("a")
     b = right.repartition(tasks, "entry", "part").alias("b")
     common = F.size(F.array_intersect("a.tokens", "b.tokens"))
     union = F.col("a.size") + F.col("b.size") - common
-    # Sizes alone say how many tokens must be shared; from the first shared one on, no more can be
-    # than the shorter rest.
-    needed = (F.col("a.size") + F.col("b.size")) * percent
-    possible = F.least(F.col("a.size") - F.col("a.position"), F.col("b.size") - F.col("b.position"))
-    # Pairs that share several prefix tokens count at the first of them only. Cheap tests come
-    # first: the condition is evaluated in order.
-    first = F.element_at(F.array_intersect("a.prefix", "b.prefix"), 1)
+    # Cheap tests come first: the condition is evaluated in order.
     pairs = a.join(
         b,
         (F.col("a.entry") == F.col("b.entry")) & (F.col("a.part") == F.col("b.part"))
-        & (F.col("b.size") * 100 >= F.col("a.size") * percent)
+        & (F.struct("a.size", "a.oldest") < F.struct("b.size", "b.oldest"))
         & (F.col("a.size") * 100 >= F.col("b.size") * percent)
-        & (possible * (100 + percent) >= needed)
-        & (F.col("a.oldest") < F.col("b.oldest"))
-        & (F.col("a.entry") == first)
         & (common * 100 >= union * percent),
     )
+    # Similar sets agree in several pairs of parts.
     similar = pairs.select(
-        F.col("a.oldest.table_id").alias("parent_table_id"),
-        F.col("b.oldest.table_id").alias("child_table_id"),
+        F.least("a.oldest", "b.oldest").alias("older"), F.greatest("a.oldest", "b.oldest").alias("younger"),
         F.round(common / union, 4).alias("jaccard"),
-        F.lit("similar_profile").alias("relation"),
+    ).distinct().select(
+        F.col("older.table_id").alias("parent_table_id"), F.col("younger.table_id").alias("child_table_id"),
+        "jaccard", F.lit("similar_profile").alias("relation"),
     )
     return copies.unionByName(similar).withColumns({
         "confidence": F.lit(0.7), "inference_method": F.lit("column_profile_similarity"),

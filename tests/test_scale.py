@@ -225,3 +225,23 @@ def test_leaked_values(spark):
     raw = spark.createDataFrame([("secret",)], "v string")
     out = spark.createDataFrame([("x",), ("secret",), ("secret",)], "c string")
     assert checks.leaked_values(out, "c", raw, "v").count() == 2
+
+
+def test_dense_profiles_meet_few_others(spark):
+    """Few tokens, each in many sets: a shared token says nothing, two equal parts of six do."""
+    rng = random.Random(11)
+    sets = [set(rng.sample(range(90), 18)) for _ in range(400)]
+    sets += [set(rng.sample(sorted(s), 17)) | {rng.randint(90, 99)} for s in sets[:40]]
+    rows = [(f"t{i:03}", sorted(f"c{x}" for x in s), BASE + dt.timedelta(minutes=i)) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "table_id string, tokens array<string>, first_seen timestamp_ntz")
+    expected = {
+        (f"t{i:03}", f"t{j:03}") for i, a in enumerate(sets) for j, b in enumerate(sets)
+        if i < j and len(a & b) * 100 >= len(a | b) * 80
+    }
+    found = lineage.similarity_edges(df).collect()
+    assert {(r["parent_table_id"], r["child_table_id"]) for r in found} == expected and len(found) == len(expected) >= 40
+
+    narrow = df.select("tokens", F.col("table_id").alias("oldest"), F.size("tokens").alias("size"),
+                       F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"), F.lit(4).alias("differ"))
+    met = lineage._agreements(narrow).groupBy("entry").count().where("count > 1")
+    assert met.agg(F.sum("count")).first()[0] < 5 * len(rows)
