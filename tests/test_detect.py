@@ -289,3 +289,14 @@ def test_labelled_rows_are_spread_and_compiled(spark):
     codes = debug.codegenStringSeq(labelled_rows(few, "c_custkey")._jdf.queryExecution().executedPlan())
     sizes = [codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())]
     assert sizes and max(sizes) < 8000
+
+
+def test_best_label_without_a_walk(spark):
+    """The best label is found by array functions; the first wins a tie, and no scores give an empty label."""
+    rows = spark.createDataFrame(
+        [(1, [("a", 0.2), ("b", 0.4), ("c", 0.4)]), (2, [("a", None), ("b", 0.1)]), (3, [])],
+        "id int, scores array<struct<label: string, score: double>>")
+    best = detect.top_label(F.col("scores"))
+    assert "lambda" not in str(best)
+    found = {r["id"]: (r["b"]["label"], r["b"]["score"]) for r in rows.select("id", best.alias("b")).collect()}
+    assert found == {1: ("b", 0.4), 2: ("b", 0.1), 3: ("", -1.0)}
