@@ -275,6 +275,32 @@ def test_trained_model_scores(spark):
     assert sum(s["score"] for s in row["scores"]) == pytest.approx(1.0)
 
 
+def test_features_are_those_of_the_text_stages(spark):
+    """Found batch by batch without a string per group of characters, and the same buckets."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, VectorAssembler
+
+    given = [("email", "Ana.Lopez1@example.com"), ("n", ""), ("n", None), ("É", "Ça va ñÑ 日本語 😀😀x\ny\r\n z"),
+             ("b", "\u0085"), ("c", "ǅÅå٣½"), ("phone", "+52 55 1234 5678")]
+    rows = spark.createDataFrame(given, "column_name string, value string")
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", r"\p{Lu}", "A"), r"\p{Ll}", "a"), r"[0-9]", "0")
+    texts = rows.withColumns({
+        "text": classify.model_text(F.col("column_name"), F.col("value")),
+        "shape": F.concat(F.lit("^"), F.coalesce(shape, F.lit("")), F.lit("$")),
+    })
+    stages = []
+    for source in ("text", "shape"):
+        stages += [
+            RegexTokenizer(inputCol=source, outputCol=f"{source}_chars", pattern=".", gaps=False, toLowercase=source == "text"),
+            NGram(n=3, inputCol=f"{source}_chars", outputCol=f"{source}_grams"),
+            HashingTF(numFeatures=1024, binary=True, inputCol=f"{source}_grams", outputCol=f"{source}_tf"),
+        ]
+    stages.append(VectorAssembler(inputCols=["text_tf", "shape_tf"], outputCol="features"))
+    expected = Pipeline(stages=stages).fit(texts).transform(texts).select("features").collect()
+    found = training.featurize(rows).select("features").collect()
+    assert [r[0].toArray().tolist() for r in found] == [r[0].toArray().tolist() for r in expected]
+
+
 def test_labelled_rows_are_spread_and_compiled(spark):
     """Keys of one block go to tasks of a bounded number of keys, and no method is too long to be compiled."""
     from dataveil.functions import synthetic
