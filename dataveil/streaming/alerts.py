@@ -10,10 +10,10 @@ counted.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -37,14 +37,13 @@ def closed_windows(stream: DataFrame, ts: str, key: str, failed: Column, window:
     return counted.select("key", F.unix_micros(F.col("window.start")).alias("start"), "n", "errors", F.window_time("window").alias("event_time"))
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=ALERTS.names)
+def _alert(values: tuple) -> Row:
+    return Row(*ALERTS.names)(*values)
 
 
-def _rows(frames: Iterator[pd.DataFrame]) -> list:
+def _rows(rows: Iterator[Row]) -> list:
     """A key's closed windows in time order; a batch closes few of them."""
-    found = [tuple(r) for f in frames for r in f[["start", "n", "errors"]].itertuples(index=False)]
-    return sorted(found)
+    return sorted((r["start"], r["n"], r["errors"]) for r in rows)
 
 
 class Periods(StatefulProcessor):
@@ -62,7 +61,7 @@ class Periods(StatefulProcessor):
         self.run.clear()
         return [("resolved", key, start, last, windows, None, None)] if windows >= self.hold else []
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         name, out = key[0], []
         for start, n, errors in _rows(rows):
             out.append(("window", name, start, start + self.step, 1, n, errors))
@@ -77,47 +76,62 @@ class Periods(StatefulProcessor):
                 self.handle.registerTimer((start + 2 * self.step) // 1000)
             elif self.run.exists():
                 out += self._ended(name)
-        yield _frame(out)
+        return map(_alert, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         due = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        if self.run.exists() and self.run.get()[1] + 2 * self.step <= due:
-            yield _frame(self._ended(key[0]))
+        over = self.run.exists() and self.run.get()[1] + 2 * self.step <= due
+        return map(_alert, self._ended(key[0]) if over else [])
 
     def close(self) -> None:
         pass
 
 
 class Streaks(StatefulProcessor):
-    """Seconds at which a key had at least *at_least* failures in the *seconds* before, both ends included."""
+    """Seconds at which a key had at least *at_least* failures in the *seconds* before, both ends included.
+
+    A key's failures that a later one may reach are one state value, read and written once per batch:
+    two numbers for each second with failures.
+    """
 
     def __init__(self, seconds: int, at_least: int) -> None:
         self.seconds, self.at_least = seconds * 1_000_000, at_least
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.recent = handle.getMapState("recent", "start long", "n long")
+        self.recent = handle.getValueState("recent", "starts array<long>, counts array<long>")
+
+    def _wake(self, newest: int) -> None:
+        """The one timer of a key with state."""
+        self.handle.registerTimer((newest + self.seconds) // 1000 + 1)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        known = {k[0]: v[0] for k, v in self.recent.iterator()}
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        # Windows close in time order, also from batch to batch.
+        before = self.recent.get()
+        kept = deque(zip(*before)) if before else deque()
+        total, out = sum(n for _, n in kept), []
         for start, _, errors in _rows(rows):
             if not errors:
                 continue
-            known[start] = errors
-            self.recent.updateValue((start,), (errors,))
-            self.handle.registerTimer((start + self.seconds) // 1000 + 1)
-            total = sum(n for at, n in known.items() if at >= start - self.seconds)
+            kept.append((start, errors))
+            total += errors
+            while kept[0][0] < start - self.seconds:
+                total -= kept.popleft()[1]
             if total >= self.at_least:
                 out.append(("streak", key[0], start, start, total, errors, errors))
-        yield _frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """A failure that no later window can reach is forgotten."""
-        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        for start in [k[0] for k in self.recent.keys()]:
-            if start + self.seconds < due:
-                self.recent.removeKey((start,))
+        if kept:
+            self.recent.update(tuple(map(list, zip(*kept))))
+            if not before:
+                self._wake(kept[-1][0])
+        return map(_alert, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """Failures that no later window can reach are forgotten, all at once after the key's latest."""
+        newest = self.recent.get()[0][-1]
+        if newest + self.seconds < expiredTimerInfo.getExpiryTimeInMs() * 1000:
+            self.recent.clear()
+        else:
+            self._wake(newest)
         return iter([])
 
     def close(self) -> None:
@@ -126,7 +140,7 @@ class Streaks(StatefulProcessor):
 
 def _drain(closed: DataFrame, processor: StatefulProcessor, root: str) -> None:
     spark = closed.sparkSession
-    alerts = closed.groupBy("key").transformWithStateInPandas(processor, ALERTS, "Append", "EventTime")
+    alerts = closed.groupBy("key").transformWithState(processor, ALERTS, "Append", "EventTime")
     writer = alerts.writeStream.outputMode("append").foreachBatch(lambda batch, batch_id: write_batch(batch, root, "alerts", batch_id))
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)

@@ -114,3 +114,61 @@ def test_streaks_equal_the_batch_form(spark):
     got = sorted((r.key, r.start // 1_000_000, r.n, r.windows) for r in found.collect() if r.key)
     batch = health.failure_streaks(spark.createDataFrame(rows, SCHEMA), "label", "ts", F.col("failed"), hours=20, at_least=3).collect()
     assert got == sorted((r.label, r.sec, r.n, r.failures) for r in batch) and got
+
+
+class _Value:
+    """A state value in memory that counts its uses; it stands for its handle too."""
+
+    def __init__(self):
+        self.value, self.uses, self.timers = None, 0, []
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def get(self):
+        self.uses += 1
+        return self.value
+
+    def update(self, value):
+        self.uses, self.value = self.uses + 1, value
+
+    def clear(self):
+        self.value = None
+
+
+class _Expiry:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return self.at
+
+
+def test_streak_state_is_touched_once_per_batch():
+    """However many failures a key has in a batch: one read, one write, one timer until it expires."""
+    rng, state = random.Random(9), _Value()
+    streaks = alerts.Streaks(500, 3)
+    streaks.init(state)
+    seconds = sorted(rng.sample(range(20_000), 900))
+    rows = [{"start": s * 1_000_000, "n": n, "errors": n} for s in seconds for n in [rng.randrange(3)]]
+    found = []
+    for part in (rows[:300], rows[300:600], rows[600:]):
+        uses = state.uses
+        found += list(streaks.handleInputRows(("k",), iter(part), None))
+        assert state.uses - uses <= 2
+    assert len(state.timers) == 1
+    want = []
+    for r in rows:
+        total = sum(x["errors"] for x in rows if r["start"] - 500_000_000 <= x["start"] <= r["start"])
+        if r["errors"] and total >= 3:
+            want.append((r["start"], total, r["errors"]))
+    assert [(r["start"], r["windows"], r["n"]) for r in found] == want and want
+
+    newest = max(r["start"] for r in rows if r["errors"])
+    list(streaks.handleExpiredTimer(("k",), None, _Expiry(state.timers[0])))
+    assert state.value and state.timers[1] == newest // 1000 + 500_001
+    list(streaks.handleExpiredTimer(("k",), None, _Expiry(state.timers[1])))
+    assert state.value is None
